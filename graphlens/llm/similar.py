@@ -151,7 +151,7 @@ def latest_objects(df: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("id", "kind", "embedding")
 
 
-def most_similar(df: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64, spread: int = 3) -> DataFrame:
+def most_similar(df: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64, spread: int = 2) -> DataFrame:
     """For every valid vector its `k` most similar others of the same object type with cosine >= `least`.
 
     In: id, repo_id, object_id, object_type, embedding, created_at; more columns are ignored. Out: id, other_id, cosine.
@@ -221,7 +221,7 @@ def most_similar(df: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
     rows = latest_objects(df)
     same = [F.coalesce("kind", F.lit("")).alias("kind"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2")]
     copies = (
-        df.filter(F.size("embedding") == dim)
+        df.filter((F.size("embedding") == dim) & F.exists("embedding", lambda v: v != 0))
         .select(F.lower(F.trim("object_type")).alias("kind"), "embedding")
         .select(*same)
         .groupBy("kind", "h1", "h2")
