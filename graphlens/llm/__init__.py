@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlens.llm.natural import p3_found
 from graphlens.llm.similar import p1_found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p3_found)}
 
 
 def oracle_sql() -> dict[str, str]:
