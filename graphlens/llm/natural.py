@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.kneser_ney import fit_clean
 from graphlens.llm.prose import CUT, is_prose, labelled_sentences
-from graphlens.tables import table
+from graphlens.tables import shipped, table
 
 TEXT, SLASH, COMMENT, STRING, ESCAPE, GAP, END = range(7)
 _OTHER, _QUOTE, _BACK, _SLASH, _HASH, _LINE, _BLANK = range(7)
@@ -127,9 +127,10 @@ def language_shares(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     texts, labels, langs = labelled_sentences(documents)
     if not texts:
         return symbols.sparkSession.createDataFrame([], out + ", share double")
-    model = symbols.sparkSession.sparkContext.broadcast(fit_clean(texts, labels, len(langs)))
+    model = shipped(symbols.sparkSession, fit_clean(texts, labels, len(langs)))
 
     def counted(batches):
+        models = model()
         for batch in batches:
             row, pieces = [], []
             for column in ("doc", "summary"):
@@ -140,7 +141,7 @@ def language_shares(symbols: DataFrame, documents: DataFrame) -> DataFrame:
                         row += [i] * len(values)
             which, words, sizes = prose_of(pieces)
             if words:
-                best = model.value.scores(words).argmax(1)
+                best = models.scores(words).argmax(1)
                 at = np.array(row)[which]
                 found = pd.DataFrame({"repo_id": batch["repo_id"].to_numpy()[at], "file_id": batch["file_id"].to_numpy()[at], "lang": np.array(langs, object)[best], "chars": sizes})
                 yield found.groupby(["repo_id", "file_id", "lang"], dropna=False, as_index=False)["chars"].sum()
