@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -51,6 +55,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a model of bounded size; the result, called in a worker, gives it back (classes travel by value)."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def missing_tables(spark: SparkSession, required: list[str]) -> DataFrame:
     """Names in `required` that the catalog does not list (readiness check), sorted."""
     have = [t.name for t in spark.catalog.listTables()]
