@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphlens.llm.docpairs import p4_found, p4_pairs
+from graphlens.llm.langlabels import p8_found
 from graphlens.llm.natural import p3_found
 from graphlens.llm.similar import p1_found
 from graphlens.llm.tokens import p6_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_pairs, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_pairs, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
