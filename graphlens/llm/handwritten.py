@@ -37,7 +37,7 @@ DATA_LINES, LITERAL_LINES = 8, 0.6
 TOOL = re.compile(
     r"@generated\b|<auto-?generated>|\b(?:auto(?:matically)?|machine)[- ]?(?:generated|created|produced|written|made)\b(?! method| stub)"
     r"|\b(?:code|file|source|parser|stubs?|bindings?)\b.{0,40}\b(?:generated|produced automatically|created automatically)\b|\bgenerated (?:by|from|with|using|on|file|code)\b|\bdo not (?:edit|modify|change|touch)\b|\bregenerate with\b"
-    r"|maschinell|automatisch (?:erzeugt|erstellt|generiert)|nicht (?:von hand |manuell )?(?:ändern|bearbeiten)|généré|ne pas (?:modifier|éditer)|generado|no (?:editar|modificar)|gerado|não (?:edit|modif)|generato|non modificare|gegenereerd|niet (?:wijzigen|bewerken)"
+    r"|\bmaschinell (?:erzeugt|erstellt|generiert)|\bautomatisch (?:erzeugt|erstellt|generiert)|\bnicht (?:von hand |manuell )?(?:ändern|bearbeiten)|\bgénérée?\b(?! d)|\bne pas (?:modifier|éditer)|\bgenerad[oa]\b|\bno (?:editar|modificar)|\bgerad[oa]\b|\bnão (?:edit|modif)|\bgenerat[oa]\b|\bnon modificare|\bgegenereerd\b|\bniet (?:wijzigen|bewerken)"
     r"|сгенерирован|создан автоматически|не (?:редактировать|изменять|править)|自动生成|请勿|勿手工修改|自動生成|編集しない|変更しない",
     re.I,
 )
