@@ -18,9 +18,9 @@ def first_match(name: Column, rules: tuple[tuple[str, str], ...], default: Colum
     return out.otherwise(default)
 
 
-def file_label(path: Column, language: Column) -> Column:
+def file_label(name: Column, language: Column) -> Column:
     labels = F.create_map(*[F.lit(x) for pair in C.LANGUAGE_LABELS.items() for x in pair])
-    return first_match(path, C.FILE_RULES, F.coalesce(labels[F.lower(language)], F.lit("Source File")))
+    return first_match(name, C.FILE_RULES, F.coalesce(labels[F.lower(language)], F.lit("Source File")))
 
 
 def language_of_path(path: Column) -> Column:
@@ -65,16 +65,19 @@ def file_id(path: Column) -> Column:
     return F.concat(F.lit("F_"), stem, F.lit("_"), sha8(path))
 
 
+#: name(parameters) and, after an arrow, a return type; nothing may follow.
+SIGNATURE = r"^[^(]+\(([^)]*)\)\s*(?:->\s*(.+))?$"
+
+
 def parameters(signature: Column) -> Column:
-    """Parameter names of a signature: what stands between its first brackets, without types, defaults, self."""
-    inside = F.regexp_extract(signature, r"\(([^()]*)\)", 1)
-    parts = F.transform(F.split(inside, ","), lambda p: F.trim(F.regexp_replace(p, r"[:=].*$", "")))
-    return F.filter(parts, lambda p: (p != "") & ~p.isin("self", "cls", "&self", "&mut self"))
+    """Parameters of a signature of the form name(a, b) -> type, each trimmed; empty for any other form."""
+    parts = F.transform(F.split(F.regexp_extract(F.trim(signature), SIGNATURE, 1), ","), lambda p: F.trim(p))
+    return F.filter(parts, lambda p: p != "")
 
 
 def return_type(signature: Column) -> Column:
-    """What follows `->`, up to a colon or brace; null where there is none."""
-    r = F.trim(F.regexp_extract(signature, r"->\s*([^:{]+)", 1))
+    """What follows the arrow of such a signature; null where there is none."""
+    r = F.trim(F.regexp_extract(F.trim(signature), SIGNATURE, 2))
     return F.when(r != "", r)
 
 
@@ -84,7 +87,7 @@ def token_estimate(text: Column) -> Column:
 
 def relation_text(source: Column, kind: Column, target: Column) -> Column:
     words = F.create_map(*[F.lit(x) for pair in C.RELATION_WORDS.items() for x in pair])
-    return F.concat(source, F.lit(" "), F.coalesce(words[kind], kind), F.lit(" "), target)
+    return F.concat(source, F.lit(" "), F.coalesce(words[kind], F.lit("relates to")), F.lit(" "), target)
 
 
 def alias(name: Column) -> Column:

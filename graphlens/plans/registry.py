@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from graphlens.plans import lookup_queries, snapshot_queries  # noqa: F401
+    from graphlens.plans import lookup_queries, snapshot_queries, summary_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
