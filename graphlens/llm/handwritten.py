@@ -84,14 +84,17 @@ def statistics(text: str | None) -> tuple:
 
 
 def text_statistics(sources: DataFrame) -> DataFrame:
-    """repo_id, path (plain), and STATS of each row of the raw sources."""
+    """repo_id, path (plain), and STATS of each row of the raw sources (sentences: 0 where the path leaves no doubt)."""
+    doubt = re.compile(f"{TOOL_DIR}|{TOOL_NAME}")
 
     def taken(batches):
         for b in batches:
             told = pd.DataFrame([statistics(t) for t in b["content"]], columns=[c.split()[0] for c in STATS.split(", ")][:-1])
-            which, words, _ = prose_of([(t or "") for t in b["content"]])
+            # sentences decide only about files that are named like a tool's output
+            named = [i for i, p in enumerate(b["path"]) if p and doubt.search(p.lower())]
+            which, words, _ = prose_of([(b["content"].iloc[i] or "") for i in named])
             n = pd.Series(0, index=range(len(b)))
-            for i, w in zip(which, words):
+            for i, w in zip((named[k] for k in which), words):
                 if not LICENCE.search(w) and not TOOL.search(w):
                     n.iloc[i] += 1
             told["sentences"] = n
