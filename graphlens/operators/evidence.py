@@ -107,4 +107,4 @@ def degraded_mode(ranked: DataFrame, metrics: DataFrame) -> DataFrame:
 def evidence_line(ranked: DataFrame, top: int = 5) -> DataFrame:
     """seed, line: the best ids with their scores, `id:0.85` with two digits, separated by `, `."""
     best = ranked.filter(F.col("rank") <= top).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("l"))
-    return best.select("seed", F.array_join(F.transform("l", lambda x: F.format_string("%s:%.2f", x["id"], F.round(x["score"], 2))), ", ").alias("line"))
+    return best.select("seed", F.array_join(F.transform("l", lambda x: F.concat(x["id"], F.lit(":"), F.round(x["score"].cast("decimal(12,4)"), 2).cast("string"))), ", ").alias("line"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphlens.operators.lookup import first_of
+from graphlens.operators.positions import positioned
 
 
 def _last_parts(name: Column, sep: str) -> list[Column]:
@@ -94,16 +94,5 @@ def valid_relations(relations: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def renumbered(rows: DataFrame, order: list[str], prefix: str = "R_") -> DataFrame:
-    """`rows` with a dense `id` prefix1..prefixN in the given order, without passing all rows through one task: rows are
-    range-partitioned, numbered within their partition, and shifted by the sizes of the partitions before."""
-    from graphlens.tables import cut
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "numbered")
-    sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    total, shift = 0, {}
-    for p, size in sizes:
-        shift[p], total = total, total + size
-    first = placed.sparkSession.createDataFrame(list(shift.items()) or [(0, 0)], T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_shift", T.LongType())]))
-    local = first_of(placed, ["_p"], list(order), 1 << 30, "_n").join(F.broadcast(first), "_p")
-    return local.withColumn("id", F.concat(F.lit(prefix), (F.col("_n") + F.col("_shift")).cast("string"))).drop("_p", "_n", "_shift")
+    """`rows` with a dense `id` prefix1..prefixN in the given order."""
+    return positioned(rows, [], order, "_n").withColumn("id", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")

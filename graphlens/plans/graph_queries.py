@@ -228,7 +228,7 @@ def degraded_answer_mode(spark: SparkSession, d: str) -> DataFrame:
     return E.degraded_mode(ranked, E.concentration(ranked).withColumn("level", F.lit("symbol")))
 
 
-@query("evidence_summary", _RANK + "SELECT seed, array_to_string(list(id || ':' || format('{:.2f}', round(score, 2)) ORDER BY rank), ', ') AS line FROM r WHERE rank <= 5 GROUP BY ALL")
+@query("evidence_summary", _RANK + "SELECT seed, array_to_string(list(id || ':' || round(score::decimal(12, 4), 2)::decimal(12, 2)::varchar ORDER BY rank), ', ') AS line FROM r WHERE rank <= 5 GROUP BY ALL")
 def evidence_summary(spark: SparkSession, d: str) -> DataFrame:
     return E.evidence_line(top_ranked(spark, d))
 
