@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from graphlens.plans import graph_queries, lookup_queries, snapshot_queries, state_queries, summary_queries  # noqa: F401
+    from graphlens.plans import doc_queries, graph_queries, lookup_queries, snapshot_queries, state_queries, summary_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
