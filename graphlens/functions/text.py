@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphlens import config as C
 
-IDENTIFIER = r"(?U)[A-Za-z_][\w./:-]*"
+#: Word characters are letters, numbers of any kind, and the underscore; combining marks are none.
+IDENTIFIER = r"[A-Za-z_][\p{L}\p{N}_./:-]*"
 
 
 def first_match(name: Column, rules: tuple[tuple[str, str], ...], default: Column | str) -> Column:
@@ -37,8 +38,8 @@ def identifiers(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Everything but word characters and Chinese characters becomes one blank; trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)[^\w\x{4e00}-\x{9fff}]+", " ")))
+    """Everything but word characters becomes one blank; trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")))
 
 
 def line_count(text: Column) -> Column:

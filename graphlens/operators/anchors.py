@@ -19,7 +19,7 @@ MOST_MATCHES = 3
 
 def name_candidates(question: Column) -> Column:
     """Quoted names first, then identifiers, in lower case, without stop words; distinct, in order."""
-    quoted = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("(?U)[`'\"“”‘’]([A-Za-z_][\\w./:-]*)[`'\"“”‘’]"), F.lit(1))
+    quoted = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("[`'\"“”‘’]([A-Za-z_][\\p{L}\\p{N}_./:-]*)[`'\"“”‘’]"), F.lit(1))
     lower = F.transform(quoted, lambda t: F.lower(F.regexp_replace(t, r"^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$", "")))
     every = F.array_distinct(F.concat(F.filter(lower, lambda t: F.length(t) > 1), X.identifiers(question)))
     return F.array_except(every, F.array(*[F.lit(w) for w in STOPWORDS]))

@@ -80,7 +80,7 @@ def expansion_gain(reached: DataFrame, questions: DataFrame, names: DataFrame, d
 def gated(reached: DataFrame, gain: DataFrame, least: float = C.EXPANSION_GAIN) -> DataFrame:
     """What was reached, without objects of the second hop where these gained too little."""
     weak = gain.filter(F.col("gain") < least).select("seed", F.lit(2).alias("distance"))
-    return reached.join(weak, ["seed", "distance"], "left_anti")
+    return reached.join(weak, ["seed", "distance"], "left_anti").select(*reached.columns)
 
 
 def call_chain(seeds: DataFrame, relations: DataFrame, depth: int = 3) -> DataFrame:

@@ -41,14 +41,14 @@ def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: in
     found = None
     for k in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "vector").toPandas().dropna()
-        own = own[[len(v) > 0 and not any(x is None for x in v) for v in own["vector"]]]
+        own = own[np.array([len(v) > 0 and not any(x is None for x in v) for v in own["vector"]], bool)]
         sets = {n: (g["id"].to_numpy(), np.array([np.asarray(v, float) for v in g["vector"]])) for n, g in own.groupby(own["vector"].map(len))}
         sent = rows.sparkSession.sparkContext.broadcast(sets)
 
         def best(batches, sent=sent):
             for b in batches:
                 for size, (ids, q) in sent.value.items():
-                    ok = [v is not None and len(v) == size and not any(x is None for x in v) for v in b["vector"]]
+                    ok = np.array([v is not None and len(v) == size and not any(x is None for x in v) for v in b["vector"]], bool)
                     for kind, g in b[ok].groupby("kind"):
                         limit = top if isinstance(top, int) else top.get(kind, 0)
                         if not limit:

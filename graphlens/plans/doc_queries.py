@@ -21,8 +21,7 @@ from graphlens.tables import table
 
 # -- texts --------------------------------------------------------------------------------------------------------------
 
-_IDENT = r"[A-Za-z_][\w\p{L}\p{M}\p{N}./:-]*"
-_TERMS = r"list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{M}\p{N}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$', '', 'g')))), lambda t: length(t) > 1)"
+_TERMS = r"list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{N}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$', '', 'g')))), lambda t: length(t) > 1)"
 
 
 @query("identifier_tokens", f"SELECT doc_id, list_sort({_TERMS}) AS terms FROM documents WHERE text IS NOT NULL")
@@ -31,10 +30,9 @@ def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.array_sort(X.identifiers(F.col("text"))).alias("terms"))
 
 
-@query("text_normalize", r"SELECT doc_id, lower(trim(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))) AS plain FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{200c}\x{200d}\x{24b6}-\x{24e9}]')")
+@query("text_normalize", r"SELECT doc_id, lower(trim(regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g'))) AS plain FROM documents WHERE text IS NOT NULL")
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
-    # the joiners, which the two engines' word classes treat differently, are left to a test
-    t = table(spark, d, "documents").filter("text is not null and not text rlike '[\\\\x{200c}\\\\x{200d}\\\\x{24b6}-\\\\x{24e9}]'")
+    t = table(spark, d, "documents").filter("text is not null")
     return t.select("doc_id", X.normalised(F.col("text")).alias("plain"))
 
 
@@ -87,8 +85,8 @@ def name_candidates(spark: SparkSession, d: str) -> DataFrame:
       UNION ALL SELECT repo_id, id, 'symbol', lower(name), lower(qualified_name) FROM s),
     k AS (SELECT DISTINCT repo_id, id, kind, term FROM (SELECT repo_id, id, kind, unnest([n, p]) AS term FROM o) WHERE term IS NOT NULL),
     q AS (SELECT concat_ws('/', repo_id, id) AS question_id, repo_id, 'what does `' || regexp_replace(name, '\\.[^.]*$', '') || '` do in ' || coalesce(path, '') AS text FROM f),
-    c0 AS (SELECT question_id, repo_id, list_filter([lower(regexp_extract(text, '`([A-Za-z_][\\p{{L}}\\p{{M}}\\p{{N}}_./:-]*)`', 1))], lambda t: length(t) > 1) AS quoted,
-      list_transform(regexp_extract_all(text, '[A-Za-z_][\\p{{L}}\\p{{M}}\\p{{N}}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\\[\\]{{}}<>]+|[.,:;()\\[\\]{{}}<>]+$', '', 'g'))) AS terms FROM q),
+    c0 AS (SELECT question_id, repo_id, list_filter([lower(regexp_extract(text, '`([A-Za-z_][\\p{{L}}\\p{{N}}_./:-]*)`', 1))], lambda t: length(t) > 1) AS quoted,
+      list_transform(regexp_extract_all(text, '[A-Za-z_][\\p{{L}}\\p{{N}}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\\[\\]{{}}<>]+|[.,:;()\\[\\]{{}}<>]+$', '', 'g'))) AS terms FROM q),
     c1 AS (SELECT question_id, repo_id, list_concat(quoted, list_filter(terms, lambda t: length(t) > 1)) AS l FROM c0),
     c AS (SELECT question_id, repo_id, list_filter(l, lambda t, i: list_position(l, t) = i AND t NOT IN ('what', 'why', 'how', 'when', 'where', 'which', 'who', 'does', 'show', 'explain', 'tell', 'about')) AS cand FROM c1),
     a AS (SELECT question_id, repo_id, unnest(cand) AS term, generate_subscripts(cand, 1) - 1 AS i FROM c),
@@ -104,7 +102,7 @@ def anchor_from_name(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "follow_up_detect",
-    r"""WITH t AS (SELECT item_id, text, lower(trim(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))) AS p FROM eval_items WHERE text IS NOT NULL)
+    r"""WITH t AS (SELECT item_id, text, lower(trim(regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g'))) AS p FROM eval_items WHERE text IS NOT NULL)
     SELECT item_id, p <> '' AND ((len(str_split(p, ' ')) <= 12 AND len(list_filter(['它', '这个', '该', '这里', '上面', '上述', 'that', 'this', 'it', 'they', 'them', 'method', 'class', 'file'], lambda h: contains(p, h))) > 0)
       OR len(list_filter(['该方法', '这个类', '这个文件', '这个模块', 'that method', 'this class'], lambda h: contains(lower(text), h))) > 0) AS follows FROM t""",
 )
