@@ -40,7 +40,7 @@ def documentation(lead_pattern: str):
     deep = seq(lead, token(r"(?:[ ]{2,}|\t)\S" + rest))
     fence_mark = token(r"[ \t]*(?:```|~~~)" + rest)
     fence_line = rule("fence_line", seq(lead, fence_mark))
-    plain = emit("text", rf"(?!{titles})([\w`(][^\n]*?){close}")
+    plain = emit("text", rf"(?!{titles}|```)([\w`(][^\n]*?){close}")
     listed = seq(token(titles), many(choice(blank, deep)))
     fence = seq(fence_mark, many(seq(absent(fence_line), lead, token(rest))), maybe(fence_line))
     doctest = token(r"[ \t]*(?:>>>|\.\.\.[ \t])" + rest)
@@ -83,7 +83,7 @@ SIGNATURES = {
         seq(token(r"\s*(?:export\s+)?(?:const|let|var)\s+"), _name, token(r"\s*=\s*(?:async\s*)?"), choice(_arguments, emit("parameters", r"[\w$]+")), token(r"\s*=>"), _open),
     ),
     "python": seq(token(r"\s*(?:(?:async\s+)?def\s+)?"), _name, _arguments, _returns("->"), _open),
-    "c": seq(token(r"\s*(?:template\s*<[^\n]*?>\s*)?"), emit("returns", rf"({_type})\s*(?=[~\w:]+\s*\()"), _blank, _name, _arguments, _open),
+    "c": seq(token(r"\s*(?:template\s*<[^\n]*?>\s*)?"), emit("returns", r"((?:[\w:.<>\[\],?]+[*& \t]+)+)(?=[~\w:]+\s*\()"), _blank, _name, _arguments, _open),
 }
 
 

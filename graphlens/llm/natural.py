@@ -71,6 +71,7 @@ def marked_runs(texts: list[str]) -> list[tuple[int, str]]:
         data = flat.tobytes()
         rows = np.searchsorted(starts, begins[keep], side="right") - 1
         out += [(int(own[r]), data[b:e].decode("utf-8", "ignore")) for r, b, e in zip(rows, begins[keep], ends[keep])]
+    out.sort(key=lambda x: x[0])
     return out
 
 
