@@ -24,7 +24,7 @@ PASSAGE, STRIDE = 24, 12
 #: Dimensions of the latent space, and how many more the sketch has.
 RANK, EXTRA = 128, 16
 #: Cosine of two passages from which on a document and an item are compared word by word.
-LEAST_COSINE = 0.2
+LEAST_COSINE = 0.3
 #: Words in a row that make a leak (Chinese items, where each character is a word: LEAK_ZH), and for a paraphrase the share
 #: of an item's passage that is a common subsequence.
 LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
@@ -257,32 +257,32 @@ def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
             told = _docs(b)
             doc, start, z, full = own.latent(told, v)
             alive = np.flatnonzero(np.linalg.norm(z, axis=1) >= LEAST_COSINE * full)
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            parts = []
             for lo in range(0, len(alive), 1024):
                 own_p = alive[lo : lo + 1024]
                 cos = z[own_p] @ unit.T / full[own_p, None]
                 r, c = np.nonzero(cos >= LEAST_COSINE)
-                s = cos[r, c]
-                order = np.argsort(s, kind="stable")
-                best_here = {(int(doc[own_p[i]]), int(of[j])): (float(x), int(start[own_p[i]]), int(item_start[j])) for i, j, x in zip(r[order], c[order], s[order])}
-                for k, x in best_here.items():
-                    if k not in best or best[k] < x:
-                        best[k] = x
-            if not best:
+                parts.append((doc[own_p[r]] * len(own.ids) + of[c], cos[r, c], start[own_p[r]], item_start[c]))
+            if not parts:
                 continue
-            pairs = list(best)
-            share = subsequence(np.array([row_at(told[d], best[d, i][1]) for d, i in pairs]), np.array([row_at(own.words[i], best[d, i][2]) for d, i in pairs]))
-            size = np.array([min(PASSAGE, len(own.words[i]) - best[d, i][2]) for d, i in pairs])
+            pair, cosine, d_start, i_start = (np.concatenate(x) for x in zip(*parts))
+            if not len(pair):
+                continue
+            order = np.lexsort((-cosine, pair))
+            order = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
+            d_of, i_of, cosine, d_start, i_start = pair[order] // len(own.ids), pair[order] % len(own.ids), cosine[order], d_start[order], i_start[order]
+            share = subsequence(np.array([row_at(told[d], x) for d, x in zip(d_of, d_start)]), np.array([row_at(own.words[i], x) for i, x in zip(i_of, i_start)]))
+            size = np.array([min(PASSAGE, len(own.words[i]) - x) for i, x in zip(i_of, i_start)])
             hashed: dict[tuple[int, int], np.ndarray] = {}
             rows = []
-            for (d, i), lcs, n in zip(pairs, share, size):
+            for d, i, near, lcs, n in zip(d_of, i_of, cosine, share, size):
                 need = int(own.need[i])
                 if (d, need) not in hashed:
                     hashed[d, need] = own.hashes(told[d], need)
                 run = longest_run(told[d], own.words[i]) if np.isin(own.grams[need][i], hashed[d, need]).any() else 0
                 verbatim = run >= need
                 if verbatim or (n >= LEAK and lcs >= PARAPHRASE * n):
-                    rows.append((b["doc_id"].iloc[d], own.ids[i], best[d, i][0], run, lcs / n, "verbatim" if verbatim else "paraphrase"))
+                    rows.append((b["doc_id"].iloc[d], own.ids[i], float(near), run, lcs / n, "verbatim" if verbatim else "paraphrase"))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "run", "common", "kind"])
 
     return docs.mapInPandas(search, "doc_id long, item_id long, cosine double, run int, common double, kind string")
