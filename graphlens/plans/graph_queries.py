@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlens.functions import text as X
 from graphlens.operators import evidence as E
 from graphlens.operators import rank as R
+from graphlens.operators import retrieve as Q
 from graphlens.operators import traverse as T
 from graphlens.plans import views as V
 from graphlens.plans.registry import query
@@ -256,3 +257,70 @@ def context_relations(spark: SparkSession, d: str) -> DataFrame:
     r = V.g_relations(spark, d).withColumn("id", F.concat("source_id", F.lit(">"), "target_id", F.lit(":"), "relation_type"))
     of = r.withColumn("seed", F.explode(F.array_distinct(F.array("source_id", "target_id")))).join(seeds, "seed", "left_semi").select("seed", "id", "source_id", "target_id")
     return R.relations_for_context(of, ranked.filter("rank <= 3")).select("seed", "id", "rank")
+
+
+# -- recall ------------------------------------------------------------------------------------------------------------
+
+_RECALL = f"""WITH {V.GRAPH}, an AS (SELECT id AS seed, 'symbol' AS level FROM gs WHERE {_N.format("id")} % 100 = 0 UNION ALL SELECT id, 'file' FROM gf WHERE {_N.format("id")} % 100 = 0 UNION ALL SELECT id, 'module' FROM gm),
+e AS (SELECT source_id AS id, target_id AS other FROM gr UNION SELECT target_id, source_id FROM gr),
+sy AS (SELECT seed, gs.* FROM an JOIN gs ON seed = gs.id),
+st AS (SELECT seed, id, kind, min(distance) AS distance FROM (
+  SELECT seed, file_id AS id, 'file' AS kind, 1 AS distance FROM sy UNION ALL SELECT seed, module_id, 'module', 1 FROM sy
+  UNION ALL SELECT seed, other, 'symbol', NULL FROM sy JOIN e ON sy.id = e.id WHERE other <> e.id AND other IN (SELECT id FROM gs)
+  UNION ALL SELECT seed, module_id, 'module', 1 FROM an JOIN gf ON seed = gf.id UNION ALL SELECT seed, gs.id, 'symbol', 1 FROM an JOIN gs ON seed = gs.file_id
+  UNION ALL SELECT seed, gf.id, 'file', 1 FROM an JOIN gf ON seed = gf.module_id) GROUP BY ALL)
+"""
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    s, f, m = V.g_symbols(spark, d), V.g_files(spark, d), V.g_modules(spark, d)
+    pick = lambda df, level: df.select(F.col("id").alias("seed"), "id", F.lit(level).alias("level"))
+    return pick(s.filter(_number("id") % 100 == 0), "symbol").unionByName(pick(f.filter(_number("id") % 100 == 0), "file")).unionByName(pick(m, "module"))
+
+
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    return Q.structured_recall(_anchors(spark, d), V.g_modules(spark, d), V.g_files(spark, d), V.g_symbols(spark, d), V.g_relations(spark, d))
+
+
+@query("structured_recall", _RECALL + "SELECT seed, id, kind, distance FROM st")
+def structured_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _structured(spark, d)
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of every hundredth one, as hits on the symbols of the same numbers."""
+    from graphlens.operators.vectors import nearest
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("symbol").alias("kind"), F.col("embedding").alias("vector"))
+    near = nearest(rows, rows.filter("id % 100 = 0"), "cosine", 20, 0.0)
+    return near.select(F.concat(F.lit("S_"), "query_id").alias("seed"), F.concat(F.lit("S_"), "id").alias("id"), "kind", "similarity")
+
+
+_HYBRID = (
+    _RECALL
+    + """, ve AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings), vp AS (SELECT a.id AS q, b.id AS i, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS s FROM ve a, ve b WHERE a.id % 100 = 0 AND a.id <> b.id),
+vh AS (SELECT 'S_' || q AS seed, 'S_' || i AS id, 'symbol' AS kind, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, i) AS rn FROM vp WHERE s >= 0) WHERE rn <= 20),
+hy AS (SELECT coalesce(st.seed, vh.seed) AS seed, coalesce(st.id, vh.id) AS id, coalesce(st.kind, vh.kind) AS kind, distance, coalesce(similarity, 0.0) AS similarity FROM st FULL JOIN vh ON st.seed = vh.seed AND st.id = vh.id AND st.kind = vh.kind)
+"""
+)
+
+
+@query("hybrid_recall", _HYBRID + "SELECT seed, id, kind, distance, round(similarity, 6)::double AS similarity FROM hy")
+def hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
+    return Q.hybrid(_structured(spark, d), _hits(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("answer_modes")
+def answer_modes(spark: SparkSession, d: str) -> DataFrame:
+    """All questions through recall, fusion, metrics and strategy."""
+    from graphlens.api import ask
+
+    graph = {"modules": V.g_modules(spark, d), "files": V.g_files(spark, d).withColumn("repo_id", F.lit("r")), "symbols": V.g_symbols(spark, d).withColumn("repo_id", F.lit("r")), "relations": V.g_relations(spark, d)}
+    return ask(graph, _anchors(spark, d).withColumn("confidence", F.lit(0.85)), _hits(spark, d))
+
+
+@query("embedding_build")
+def embedding_build(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all objects with a summary."""
+    rows = [df.select("repo_id", "id", F.lit(kind).alias("kind"), "summary") for kind, df in (("module", V.modules(spark, d)), ("file", V.files(spark, d)), ("symbol", V.symbols(spark, d)))]
+    return Q.build_embeddings(rows[0].unionByName(rows[1]).unionByName(rows[2]))

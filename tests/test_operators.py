@@ -361,3 +361,50 @@ def test_summaries(spark, rows):
     s = spark.createDataFrame([("f1",)], "file_id string")
     assert rows(summarize.core_files(f, s, ["module_id"]), "id", "n_symbols", "rank") == [("f1", 1, 1), ("f2", 0, 2)]
     assert rows(summarize.core_files(f, s.limit(0), ["module_id"]), "id") == [("f1",), ("f2",)]
+
+
+# -- recall, embeddings, generation, entry points -----------------------------------------------------------------------------
+
+
+def test_build_embeddings(spark, rows):
+    from graphlens.operators import retrieve
+
+    def encode(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [[3.0, 4.0] if t != "zero" else [0.0, 0.0] for t in texts]
+
+    df = spark.createDataFrame([("r", "1", "module", "a"), ("r", "2", "file", " a "), ("r", "3", "file", "bad"), ("r", "4", "file", " "), ("r", "5", "file", None), ("r", "6", "file", "zero")], "repo_id string, id string, kind string, summary string")
+    assert rows(retrieve.build_embeddings(df, encode), "object_id", "embedding") == [("1", [0.6, 0.8]), ("2", [0.6, 0.8]), ("6", [0.0, 0.0])]
+    assert retrieve.build_embeddings(df.limit(0), encode).count() == 0
+
+
+def test_generated_text_falls_back(spark, rows):
+    from graphlens.operators import retrieve
+
+    def generate(prompts):
+        if any(p == "fail" for p in prompts):
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "hi", "x"), (2, "fail", "sorry")], "id int, prompt string, other string")
+    assert rows(retrieve.generated(df, "prompt", generate, "other"), "id", "answer", "failed") == [(1, "HI", False), (2, "sorry", True)]
+
+
+def test_index_and_ask(spark, rows, tmp_path):
+    from graphlens import api
+
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app" / "util.py").write_text("def clean(x):\n    return x.strip()\n")
+    (tmp_path / "app" / "main.py").write_text("from app.util import clean as c\n\nclass Service:\n    def run(self, x):\n        return c(x)\n")
+    g = api.index(spark, str(tmp_path), "repo_1", spark.createDataFrame([("app/util.py", "old"), ("gone.py", "h")], "path string, content_hash string"))
+    assert rows(g["symbols"], "qualified_name", "type") == [("Service", "class"), ("Service.run", "method"), ("clean", "function")]
+    by = {q: i for q, i in rows(g["symbols"], "qualified_name", "id")}
+    assert by["clean"].startswith("S_app.clean_")
+    assert (by["Service.run"], by["clean"]) in rows(g["relations"], "source_id", "target_id")
+    assert rows(g["status"]) == [("app/main.py", "parsed"), ("app/util.py", "parsed"), ("gone.py", "deleted")]
+    assert g["spans"].count() == 5
+    anchors = spark.createDataFrame([("q1", "symbol", by["Service.run"], 0.9), ("q2", "none", None, 0.0)], "seed string, level string, id string, confidence double")
+    hits = spark.createDataFrame([("q1", by["clean"], "symbol", 0.8)], "seed string, id string, kind string, similarity double")
+    got = {r[0]: r[1] for r in rows(api.ask(g, anchors, hits), "seed", "strategy")}
+    assert set(got) == {"q1", "q2"} and got["q2"] == "S4"
