@@ -24,10 +24,12 @@ PASSAGE, STRIDE = 24, 12
 #: Dimensions of the latent space, and how many more the sketch has.
 RANK, EXTRA = 128, 16
 #: Cosine of two passages from which on a document and an item are compared word by word.
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.2
 #: Words in a row that make a leak (Chinese items, where each character is a word: LEAK_ZH), and for a paraphrase the share
 #: of an item's passage that is a common subsequence.
 LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
+#: Cosine from which on the most similar passages are compared as subsequences.
+ALIKE = 0.5
 #: Evaluation items of one block: what is broadcast grows with a block, not with the evaluation set.
 BLOCK_ITEMS = 4_000
 
@@ -62,7 +64,7 @@ class Items:
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.terms = len(self) + len(self.pairs)
         self.weight = np.ones(self.terms, np.float32)
-        self.grams = {n: self._grams(n) for n in (LEAK, LEAK_ZH)}
+        self.grams = {n: self._grams(n) for n in {LEAK, LEAK_ZH}}
 
     def __len__(self) -> int:
         return len(self.number) + 1
@@ -72,7 +74,7 @@ class Items:
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
     def passages(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all passages of many documents: document, term entries (passage, term), unknown words, first word."""
+        """Of all passages of many documents: document, term entries (passage, term), unknown words, words (-1: none)."""
         doc, start = [], []
         for i, a in enumerate(docs):
             s = np.arange(0, max(1, len(a) - (PASSAGE - STRIDE)), STRIDE) if len(a) else np.zeros(0, int)
@@ -95,11 +97,14 @@ class Items:
         passage = np.r_[p1, p2[known]]
         term = np.r_[w[p1, c1], len(self) + pos[known]]
         order = np.argsort(passage, kind="stable")
-        return doc, passage[order], term[order], unknown, start
+        return doc, passage[order], term[order], unknown, w
 
     def latent(self, docs: list[np.ndarray], basis: np.ndarray):
-        """Document, start, latent vector and full length of every passage."""
-        doc, passage, term, unknown, start = self.passages(docs)
+        """Document, words, latent vector and full length of every passage."""
+        return self.projected(self.passages(docs), basis)
+
+    def projected(self, told: tuple, basis: np.ndarray):
+        doc, passage, term, unknown, w = told
         z = np.zeros((len(doc), basis.shape[1]), np.float32)
         square = unknown * float(self.weight.max(initial=1)) ** 2
         square += np.bincount(passage, self.weight[term].astype(float) ** 2, len(doc))
@@ -109,7 +114,7 @@ class Items:
                 own = basis[term[a:b]] * self.weight[term[a:b], None]
                 first = np.flatnonzero(np.r_[True, passage[a + 1 : b] != passage[a : b - 1]])
                 z[passage[a:b][first]] = np.add.reduceat(own, first, axis=0)
-        return doc, start, z, np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
+        return doc, w, z, np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
 
     def hashes(self, a: np.ndarray, n: int) -> np.ndarray:
         """A hash of every n words in a row; runs with an unknown word are left out."""
@@ -122,8 +127,22 @@ class Items:
         gaps = np.cumsum(np.r_[0, a == 0])
         return h[gaps[n:] == gaps[: len(gaps) - n]]
 
-    def _grams(self, n: int) -> list[np.ndarray]:
-        return [np.unique(self.hashes(a, n)) for a in self.words]
+    def _grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the leaks of items that need n words, in order, and the item of each."""
+        own = [(np.unique(self.hashes(a, n)), i) for i, a in enumerate(self.words) if self.need[i] == n]
+        h = np.concatenate([x for x, _ in own] or [np.zeros(0, np.uint64)])
+        item = np.concatenate([np.full(len(x), i) for x, i in own] or [np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        return h[order], item[order]
+
+    def verbatim(self, a: np.ndarray) -> np.ndarray:
+        """Items of which a document holds a leak word by word."""
+        found = []
+        for n, (h, item) in self.grams.items():
+            own = np.unique(self.hashes(a, n))
+            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+            found += [item[x:y] for x, y in zip(lo[hi > lo], hi[hi > lo])]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,11 +166,6 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[:, -1]
 
 
-def row_at(a: np.ndarray, start: int) -> np.ndarray:
-    own = a[start : start + PASSAGE]
-    return np.r_[own, np.zeros(PASSAGE - len(own), np.int64)]
-
-
 def _summed(parts: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums by term of the partitions' rows; what reaches the driver is bounded by the terms of a block of items."""
 
@@ -198,8 +212,9 @@ def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
 
     def products(own: Items, told: list[np.ndarray], m: np.ndarray):
         """Rows of A'A m that a batch adds to."""
-        _, passage, term, _, _ = own.passages(told)
-        _, _, z, _ = own.latent(told, m)
+        p = own.passages(told)
+        _, passage, term, _, _ = p
+        _, _, z, _ = own.projected(p, m)
         w = own.weight[term]
         order = np.argsort(term, kind="stable")
         first = np.flatnonzero(np.r_[True, term[order][1:] != term[order][:-1]]) if len(term) else np.zeros(0, int)
@@ -246,44 +261,49 @@ def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
 
 def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
     basis = latent_basis(docs, items)
-    doc, start, z, _ = items.latent(items.words, basis)
+    doc, w, z, _ = items.latent(items.words, basis)
     length = np.linalg.norm(z, axis=1)
     ok = length > 1e-6
-    sent = shipped(docs.sparkSession, (items, basis, doc[ok], start[ok], (z[ok] / length[ok, None]).astype(np.float32)))
+    sent = shipped(docs.sparkSession, (items, basis, doc[ok], w[ok], (z[ok] / length[ok, None]).astype(np.float32)))
 
     def search(batches):
-        own, v, of, item_start, unit = sent()
+        own, v, of, item_words, unit = sent()
+        count = len(own.ids)
         for b in batches:
             told = _docs(b)
-            doc, start, z, full = own.latent(told, v)
+            doc, w, z, full = own.latent(told, v)
             alive = np.flatnonzero(np.linalg.norm(z, axis=1) >= LEAST_COSINE * full)
             parts = []
             for lo in range(0, len(alive), 1024):
                 own_p = alive[lo : lo + 1024]
                 cos = z[own_p] @ unit.T / full[own_p, None]
                 r, c = np.nonzero(cos >= LEAST_COSINE)
-                parts.append((doc[own_p[r]] * len(own.ids) + of[c], cos[r, c], start[own_p[r]], item_start[c]))
-            if not parts:
-                continue
-            pair, cosine, d_start, i_start = (np.concatenate(x) for x in zip(*parts))
+                parts.append((doc[own_p[r]] * count + of[c], cos[r, c], own_p[r], c))
+            pair, cosine, d_at, i_at = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
             if not len(pair):
                 continue
             order = np.lexsort((-cosine, pair))
             order = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
-            d_of, i_of, cosine, d_start, i_start = pair[order] // len(own.ids), pair[order] % len(own.ids), cosine[order], d_start[order], i_start[order]
-            share = subsequence(np.array([row_at(told[d], x) for d, x in zip(d_of, d_start)]), np.array([row_at(own.words[i], x) for i, x in zip(i_of, i_start)]))
-            size = np.array([min(PASSAGE, len(own.words[i]) - x) for i, x in zip(i_of, i_start)])
-            hashed: dict[tuple[int, int], np.ndarray] = {}
-            rows = []
-            for d, i, near, lcs, n in zip(d_of, i_of, cosine, share, size):
-                need = int(own.need[i])
-                if (d, need) not in hashed:
-                    hashed[d, need] = own.hashes(told[d], need)
-                run = longest_run(told[d], own.words[i]) if np.isin(own.grams[need][i], hashed[d, need]).any() else 0
-                verbatim = run >= need
-                if verbatim or (n >= LEAK and lcs >= PARAPHRASE * n):
-                    rows.append((b["doc_id"].iloc[d], own.ids[i], float(near), run, lcs / n, "verbatim" if verbatim else "paraphrase"))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "run", "common", "kind"])
+            pair, cosine, d_at, i_at = pair[order], cosine[order], d_at[order], i_at[order]
+            exact = [d * count + own.verbatim(told[d]) for d in np.unique(pair // count)]
+            verbatim = np.isin(pair, np.concatenate(exact))
+            near = np.flatnonzero(verbatim | (cosine >= ALIKE))
+            a, x = np.maximum(w[d_at[near]], 0), np.maximum(item_words[i_at[near]], 0)
+            size = (item_words[i_at[near]] >= 0).sum(1)
+            share = subsequence(a, x) / np.maximum(size, 1)
+            keep = verbatim[near] | ((size >= LEAK) & (share >= PARAPHRASE))
+            near, share = near[keep], share[keep]
+            run = [longest_run(told[d], own.words[i]) if exactly else 0 for d, i, exactly in zip(pair[near] // count, pair[near] % count, verbatim[near])]
+            yield pd.DataFrame(
+                {
+                    "doc_id": b["doc_id"].to_numpy()[pair[near] // count],
+                    "item_id": own.ids[pair[near] % count],
+                    "cosine": cosine[near].astype(float),
+                    "run": np.array(run, np.int32),
+                    "common": share,
+                    "kind": np.where(verbatim[near], "verbatim", "paraphrase").astype(object),
+                }
+            )
 
     return docs.mapInPandas(search, "doc_id long, item_id long, cosine double, run int, common double, kind string")
 
@@ -292,7 +312,8 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, run, common, kind: documents that carry passages of evaluation items.
 
     kind `verbatim`: `run` (words in a row that both hold) is LEAK or more, LEAK_ZH where the item's lang is zh.
-    `paraphrase`: less, but a common subsequence covers PARAPHRASE of the item's most similar passage. Null and empty
+    `paraphrase`: less, but the most similar passages have cosine ALIKE or more and a common subsequence that covers PARAPHRASE of
+    the item's. Null and empty
     texts, and items shorter than a leak, have no verbatim row; repeated items are reported one by one; rows with one
     doc_id count as one. An empty table gives an empty result. Texts are read whole. Other columns are ignored.
     """
