@@ -98,3 +98,21 @@ def alias(name: Column) -> Column:
 
 def metric_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^a-zA-Z0-9_:]", "_")
+
+
+def state_key(*parts: Column) -> Column:
+    """Parts of a key, trimmed, without blank ones, joined by colons."""
+    trimmed = F.filter(F.array(*[F.trim(p) for p in parts]), lambda p: p.isNotNull() & (p != ""))
+    return F.array_join(trimmed, ":")
+
+
+def backoff_seconds(attempt: Column) -> Column:
+    """How long to wait before the next attempt: 2^attempt, at most 5."""
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(5.0))
+
+
+def under_roots(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the roots or lies below one; without roots every path is allowed."""
+    if not roots:
+        return path.isNotNull()
+    return F.exists(F.array(*[F.lit(r.rstrip("/")) for r in roots]), lambda r: (path == r) | path.startswith(F.concat(r, F.lit("/"))))

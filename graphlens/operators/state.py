@@ -110,9 +110,9 @@ def retained(tasks: DataFrame, now, retention_s: int, most: int) -> DataFrame:
     `most` tasks in all. Running tasks always stay."""
     ended = F.col("status").isin(*TERMINAL)
     kept = tasks.filter(~(ended & (F.col("updated_at") < now - F.make_dt_interval(secs=F.lit(retention_s)))))
-    total = kept.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("_over"))
+    over = max(kept.count() - most, 0)
     numbered = positioned(kept.filter(ended), [], ["updated_at", "task_id"])
-    return kept.filter(~ended).unionByName(numbered.join(F.broadcast(total)).filter("position > _over").drop("position", "_over"))
+    return kept.filter(~ended).unionByName(numbered.filter(F.col("position") > over).drop("position"))
 
 
 def task_progress(log: DataFrame) -> DataFrame:

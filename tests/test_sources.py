@@ -83,3 +83,43 @@ def test_snippets(spark):
     asked = spark.createDataFrame([("r", "f", 2, 3), ("r", "f", 9, 9), ("r", "f", None, 1)], "repo_id string, file_id string, line_start int, line_end int")
     src = spark.createDataFrame([("r", "f", "a\nb\nc"), ("r", "f", None)], "repo_id string, file_id string, content string")
     assert [r["snippet"] for r in S.snippets(asked, src).collect()] == ["b\nc"]
+
+
+def test_store(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphlens.functions import text as X
+    from graphlens.sources import store
+    from graphlens.tables import missing_tables
+
+    d = spark.createDataFrame([("d1", "r", "2026-01-01"), ("d2", "r", "2026-01-02"), ("d3", "q", None)], "document_id string, repo_id string, generated_at string")
+    at = str(tmp_path / "docs")
+    store.append_documents(d.filter("document_id = 'd1'"), at)
+    store.append_documents(d.filter("document_id <> 'd1'"), at)
+    assert sorted(r["document_id"] for r in store.latest_documents(spark, at).collect()) == ["d2", "d3"]
+    s = spark.createDataFrame([("d", 2, "b "), ("d", 1, "a"), ("d", 3, None)], "document_id string, position int, content string")
+    assert store.markdown(s).first()["text"] == "a\n\nb\n\n\n"
+    store.write_markdown(s, str(tmp_path / "md"))
+    m = spark.createDataFrame([("r", "1", "old"), ("r", "2", None)], "repo_id string, id string, summary string")
+    new = store.with_summaries(m, m.filter("id = '2'").withColumn("summary", F.lit("new")))
+    assert sorted(tuple(r) for r in new.collect()) == [("r", "1", "old"), ("r", "2", "new")]
+    with pytest.raises(ValueError):
+        store.summaries({}, "thing")
+    row = spark.range(1).select(X.state_key(F.lit(" a "), F.lit(""), F.lit("b")), X.backoff_seconds(F.lit(1)), X.backoff_seconds(F.lit(9)), X.under_roots(F.lit("/srv/a"), ["/srv/"]), X.under_roots(F.lit("/srvx"), ["/srv"])).first()
+    assert tuple(row) == ("a:b", 2.0, 5.0, True, False)
+    assert "no_such_table" in [r[0] for r in missing_tables(spark, ["no_such_table"]).collect()]
+
+
+def test_stream_of_deliveries(spark, tmp_path):
+    from graphlens.streaming.index import current_files, follow
+
+    schema = "repo_id string, path string, content_hash string, loaded_at timestamp"
+    a = spark.sql("select 'r' repo_id, './x' path, 'h1' content_hash, timestamp'2026-01-01' loaded_at union all select 'r', 'y', 'k', timestamp'2026-01-03'")
+    b = spark.sql("select 'r' repo_id, 'x' path, 'SHA1:h2' content_hash, timestamp'2026-01-02' loaded_at union all select 'r', 'y', 'old', timestamp'2026-01-01'")
+    src = str(tmp_path / "in")
+    for df in (a, b):
+        df.coalesce(1).write.mode("append").parquet(src)
+    follow(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=1)
+    last = spark.read.parquet(str(tmp_path / "out" / "v=1"))
+    want = sorted(tuple(r) for r in current_files(a.unionByName(b)).collect())
+    assert sorted(tuple(r) for r in last.select("repo_id", "path", "content_hash", "loaded_at").collect()) == want and len(want) == 2
