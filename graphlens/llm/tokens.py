@@ -114,27 +114,30 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, long: int
 
     def cut(batches):
         for b in batches:
-            for doc, row, text in zip(b["doc_id"], b["row"], b["text"]):
-                parts = cut_parts(text, part)
-                yield pd.DataFrame({"doc_id": doc, "row": row, "n": range(len(parts)), "glued": [g for g, _ in parts], "text": [t for _, t in parts]})
+            for keys in b.itertuples(index=False):
+                parts = cut_parts(keys.text, part)
+                yield pd.DataFrame({"doc_id": keys.doc_id, "h1": keys.h1, "h2": keys.h2, "copies": keys.copies, "n": range(len(parts)), "glued": [g for g, _ in parts], "text": [t for _, t in parts]})
 
     def encode(batches):
         own = Encoder(encoder())
         for b in batches:
             done = [own.part(t) for t in b["text"]]
-            yield b[["doc_id", "row", "n", "glued"]].assign(ids=[np.array(x[0], np.int32) for x in done], first=[x[1] for x in done], last=[x[2] for x in done])
+            yield b[["doc_id", "h1", "h2", "copies", "n", "glued"]].assign(ids=[np.array(x[0], np.int32) for x in done], first=[x[1] for x in done], last=[x[2] for x in done])
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("n")
         ids = Encoder(encoder()).tree([(list(map(int, x)), f, last) for x, f, last in zip(b["ids"], b["first"], b["last"])], list(b["glued"]))
-        return pd.DataFrame({"doc_id": b["doc_id"].iloc[:1], "ids": [np.array(ids, np.int32)]})
+        return pd.DataFrame({"doc_id": [b["doc_id"].iloc[0]] * int(b["copies"].iloc[0]), "ids": [np.array(ids, np.int32)] * int(b["copies"].iloc[0])})
 
     size = F.coalesce(F.length("text"), F.lit(0))
     short = rows.filter(size <= long).mapInPandas(whole, "doc_id long, ids array<int>")
-    lengthy = rows.filter(size > long).withColumn("row", F.expr("uuid()"))
-    parts = lengthy.mapInPandas(cut, "doc_id long, row string, n int, glued boolean, text string").repartition("row", "n")
-    parts = parts.mapInPandas(encode, "doc_id long, row string, n int, glued boolean, ids array<int>, first int, last int")
-    return short.unionByName(parts.groupBy("row").applyInPandas(joined, "doc_id long, ids array<int>"))
+    # a long text's row is known by its hashes, so that a task that runs again gives the same keys; equal rows are encoded once
+    same = ["doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    lengthy = rows.filter(size > long).groupBy(*same).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    keyed = "doc_id long, h1 long, h2 long, copies long, n int, glued boolean"
+    parts = lengthy.mapInPandas(cut, f"{keyed}, text string").repartition("doc_id", "h1", "h2", "n")
+    parts = parts.mapInPandas(encode, f"{keyed}, ids array<int>, first int, last int")
+    return short.unionByName(parts.groupBy("doc_id", "h1", "h2").applyInPandas(joined, "doc_id long, ids array<int>"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

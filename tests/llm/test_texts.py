@@ -232,9 +232,9 @@ def test_same_as_the_other_library(encoder, text):
 
 def test_encode_corpus(spark, encoder):
     texts = [None, "", "<|endoftext|>", "x" * 500, "The scanner reads. " * 60, " " * 300 + "a"]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(4, texts[4], "again")], "doc_id long, text string, ids string")
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(4, texts[4], "again"), (3, "y" * 400, "")], "doc_id long, text string, ids string")
     got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df, long=100, part=64).collect())
-    assert got == sorted([(i, encoder.ids(t or "")) for i, t in enumerate(texts)] + [(4, encoder.ids(texts[4]))])
+    assert got == sorted([(i, encoder.ids(t or "")) for i, t in enumerate(texts)] + [(4, encoder.ids(texts[4])), (3, encoder.ids("y" * 400))])
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
 
