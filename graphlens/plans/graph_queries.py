@@ -12,7 +12,7 @@ from graphlens.operators import retrieve as Q
 from graphlens.operators import traverse as T
 from graphlens.plans import views as V
 from graphlens.plans.registry import query
-from graphlens.tables import table
+from graphlens.tables import cut, table
 
 
 def _number(id_: str):
@@ -128,8 +128,9 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sco
 )
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str, reached: DataFrame | None = None) -> DataFrame:
     """Every candidate within two hops of every question's anchor with its fused score."""
+    reached = _reached(spark, d) if reached is None else reached
     s = V.g_symbols(spark, d)
     q = s.select(
         F.col("id").alias("seed"),
@@ -137,7 +138,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
         F.col("module_id").alias("anchor_module"),
         F.concat(F.lit("where is the "), F.when(F.col("type") == "class", "class").otherwise("function"), F.lit(" "), "name", F.lit(" used")).alias("question"),
     ).withColumn("terms", X.identifiers(F.col("question")))
-    c = _reached(spark, d).join(s.select("id", "file_id", "module_id", "name", "qualified_name", "type"), "id").join(q, "seed")
+    c = reached.join(s.select("id", "file_id", "module_id", "name", "qualified_name", "type"), "id").join(q, "seed")
     similarity = ((_number("seed") * 31 + _number("id") * 17) % 1000) / 1000
     score = R.fused(
         R.anchor_proximity(F.col("id"), F.col("file_id"), F.col("module_id"), F.col("seed"), F.col("anchor_file"), F.col("anchor_module")),
@@ -150,13 +151,14 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return c.select("seed", "id", "file_id", "module_id", "type", "distance", score.alias("score"))
 
 
-def top_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked(scored(spark, d))
+def top_ranked(spark: SparkSession, d: str, reached: DataFrame | None = None) -> DataFrame:
+    """The ten best of every question, written once: what follows reads them several times."""
+    return cut(R.ranked(scored(spark, d, reached)), "ranked")
 
 
 @query("rank_fusion", _RANK + "SELECT seed, id, score, rank FROM r")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return top_ranked(spark, d).select("seed", "id", "score", "rank")
+    return R.ranked(scored(spark, d)).select("seed", "id", "score", "rank")
 
 
 @query("baseline_boost", _RANK + "SELECT seed, id, greatest(score, CASE WHEN distance <= 1 THEN 0.85 ELSE 0.65 END)::double AS score FROM r")
@@ -178,8 +180,8 @@ mm AS (SELECT seed, (40 + seed_n % 60) / 100 AS a, c, e, g, r FROM (SELECT *, su
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     """seed, a, c, e, g, r of every question; the anchor's confidence is spread over .40 to .99."""
-    ranked = top_ranked(spark, d)
-    reached = _reached(spark, d)
+    reached = cut(_reached(spark, d), "reached")
+    ranked = top_ranked(spark, d, reached)
     g = E.gain(reached, reached.filter("distance = 1"), ranked)
     c = E.concentration(ranked)
     a = ((F.lit(40) + F.floor(_number("seed") / 100) % 60) / 100).alias("a")

@@ -47,5 +47,5 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs_without_sql(spark, sf_dir, name):
-    assert registry.queries()[name](spark, sf_dir).count() > 0
+def test_runs_without_sql(spark, name):
+    assert registry.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
