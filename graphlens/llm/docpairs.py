@@ -44,11 +44,12 @@ def documentation(lead_pattern: str):
     listed = seq(token(titles), many(choice(blank, deep)))
     fence = seq(fence_mark, many(seq(absent(fence_line), lead, token(rest))), maybe(fence_line))
     doctest = token(r"[ \t]*(?:>>>|\.\.\.[ \t])" + rest)
+    about = emit("text", rf"[ \t]*(?:[@\\](?:brief|short|summary|desc(?:ription)?|details|returns?|result|note|remarks?|warning|attention)\b|:(?:returns?|note|summary):)(?:[ \t]+\{{[^}}\n]*\}})?[ \t]*(?:-[ \t]+)?([^\n]*?){close}")
     tag = token(r"[ \t]*(?::\w+[^:\n]*:|[@\\]\w+|\{@\w+[^}\n]*\}[ \t]*(?=\r?\n|\Z))" + rest)
     named = token(r"(?:[ ]{2,}|\t)[\w*]+[ \t]*:" + rest)
     ruler = token(r"[ \t]*[^\w\s]{3,}[ \t]*\r?(?:\n|\Z)")
     prose = emit("text", rf"([^\n]*?){close}")
-    return many(seq(lead, choice(plain, token(close), fence, doctest, listed, tag, named, ruler, prose)))
+    return many(seq(lead, choice(plain, token(close), fence, doctest, listed, about, tag, named, ruler, prose)))
 
 
 DOCUMENTATION = {name: documentation(lead) for name, lead in STYLES.items()}
@@ -152,7 +153,7 @@ def function_pairs(symbols: DataFrame) -> DataFrame:
     columns = ("type", "signature", "doc", "name", "file_id", "start_line", "end_line")
     ends_blank = F.lower(F.trim(F.regexp_replace("type", r"\s+", " ")))
     rows = latest_symbols(symbols, "doc", *[c for c in columns if c != "doc"]).filter(ends_blank.isin("function", "method"))
-    rows = rows.filter(F.col("signature").rlike(r"\S") & F.col("doc").rlike(r"\w")).select("repo_id", F.col("id").alias("symbol_id"), *columns[1:])
+    rows = rows.filter(F.col("signature").rlike(r"\S") & F.col("doc").rlike(r"[\p{L}\p{N}]")).select("repo_id", F.col("id").alias("symbol_id"), *columns[1:])
 
     def paired(batches):
         for b in batches:

@@ -144,6 +144,17 @@ def test_description(doc, want):
     assert docpairs.description(doc, "sort_span") == want
 
 
+@pytest.mark.parametrize(
+    "doc,want",
+    [
+        ("/**\n * @brief Reads every source file once.\n * @param x tells which of the files is read first\n */", "Reads every source file once."),
+        (":return: the largest number of open files so far", "the largest number of open files so far"), ("@return", None), ("@returns {string} sort span", None),
+    ],
+)
+def test_tags_about_the_function(doc, want):
+    assert docpairs.description(doc, "sort_span") == want
+
+
 def test_signatures():
     p = docpairs.signature_parts
     assert p("func (s *T) Run(a string, b int) error {")["name"] == "Run" and p("func (s *T) Run(a string) error {")["returns"] == "error"
@@ -169,6 +180,13 @@ def test_function_pairs(spark, rows):
     assert docpairs.function_pairs(df.limit(0)).count() == 0
 
 
+def test_function_pairs_in_any_script(spark, rows):
+    s = "repo_id string, id string, file_id string, name string, type string, signature string, doc string, start_line int, end_line int, indexed_at timestamp"
+    docs = ["缓存层只要分支发生了移动，就会等待锁被释放。", "/**\n * Сканер читает каждый исходный файл только один раз.\n */", "キャッシュ層は分岐が動くとロックの解放を待つ。", "同上。", "// -----", "Позже."]
+    df = spark.createDataFrame([("r", str(i), "f", "a", "function", "a(x)", d, 1, 2, None) for i, d in enumerate(docs)], s)
+    assert rows(docpairs.function_pairs(df), "symbol_id") == [("0",), ("1",), ("2",)]
+
+
 # -- files not written by hand ---------------------------------------------------------------------------------------------
 
 _CODE = "import os\n\ndef f(a):\n    # The scanner reads every file once.\n    return a\n"
