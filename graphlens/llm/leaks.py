@@ -4,7 +4,7 @@ Texts become words, words passages (windows of PASSAGE words, one every STRIDE).
 words and word pairs that evaluation items hold; frequencies count all passages of the corpus. A randomised SVD of the
 corpus' passages (sketched by partition, summed by Spark) gives a latent space in which every passage looks for items'
 passages by cosine. A passage's cosine cannot exceed the share of its length that the space keeps, so most are done
-with after one product. Candidates are then checked word by word.
+with after one product. Candidates are then checked word by word; runs of words are looked for in every document.
 """
 
 from __future__ import annotations
@@ -106,8 +106,13 @@ class Items:
     def projected(self, told: tuple, basis: np.ndarray):
         doc, passage, term, unknown, w = told
         z = np.zeros((len(doc), basis.shape[1]), np.float32)
-        square = unknown * float(self.weight.max(initial=1)) ** 2
-        square += np.bincount(passage, self.weight[term].astype(float) ** 2, len(doc))
+        # an unknown word weighs what the passage's known words weigh in the mean: else how common a leak is would decide
+        heavy = self.weight[term].astype(float) ** 2
+        single = term < len(self)
+        known = np.bincount(passage[single], minlength=len(doc))
+        mean = np.bincount(passage[single], heavy[single], len(doc)) / np.maximum(known, 1)
+        square = unknown * np.where(known > 0, mean, float(self.weight.max(initial=1)) ** 2)
+        square += np.bincount(passage, heavy, len(doc))
         for lo in range(0, len(doc), 2048):
             a, b = np.searchsorted(passage, [lo, lo + 2048])
             if b > a:
@@ -116,33 +121,35 @@ class Items:
                 z[passage[a:b][first]] = np.add.reduceat(own, first, axis=0)
         return doc, w, z, np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
 
-    def hashes(self, a: np.ndarray, n: int) -> np.ndarray:
-        """A hash of every n words in a row; runs with an unknown word are left out."""
-        if len(a) < n:
-            return np.zeros(0, np.uint64)
-        h = np.zeros(len(a) - n + 1, np.uint64)
+    def hashes(self, a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every n words in a row; runs with an unknown word are left out."""
+        gaps = np.cumsum(np.r_[0, a == 0])
+        start = np.flatnonzero(gaps[n:] == gaps[:-n]) if len(a) >= n else np.zeros(0, np.int64)
+        h = np.zeros(len(start), np.uint64)
         for i in range(n):
-            h = (h ^ a[i : len(a) - n + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ a[start + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-        gaps = np.cumsum(np.r_[0, a == 0])
-        return h[gaps[n:] == gaps[: len(gaps) - n]]
+        return start, h
 
     def _grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the leaks of items that need n words, in order, and the item of each."""
-        own = [(np.unique(self.hashes(a, n)), i) for i, a in enumerate(self.words) if self.need[i] == n]
+        own = [(np.unique(self.hashes(a, n)[1]), i) for i, a in enumerate(self.words) if self.need[i] == n]
         h = np.concatenate([x for x, _ in own] or [np.zeros(0, np.uint64)])
         item = np.concatenate([np.full(len(x), i) for x, i in own] or [np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         return h[order], item[order]
 
-    def verbatim(self, a: np.ndarray) -> np.ndarray:
-        """Items of which a document holds a leak word by word."""
-        found = []
+    def verbatim(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Documents, and items of which they hold a leak word by word."""
+        flat = np.concatenate([np.append(a, 0) for a in docs] or [np.zeros(0, np.int64)])
+        of = np.repeat(np.arange(len(docs)), [len(a) + 1 for a in docs])
+        found = [np.zeros(0, np.int64)]
         for n, (h, item) in self.grams.items():
-            own = np.unique(self.hashes(a, n))
+            start, own = self.hashes(flat, n)
             lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            found += [item[x:y] for x, y in zip(lo[hi > lo], hi[hi > lo])]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            found += [of[start[k]] * len(self.ids) + item[lo[k] : hi[k]] for k in np.flatnonzero(hi > lo)]
+        pair = np.unique(np.concatenate(found))
+        return pair // len(self.ids), pair % len(self.ids)
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -263,8 +270,8 @@ def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
     basis = latent_basis(docs, items)
     doc, w, z, _ = items.latent(items.words, basis)
     length = np.linalg.norm(z, axis=1)
-    ok = length > 1e-6
-    sent = shipped(docs.sparkSession, (items, basis, doc[ok], w[ok], (z[ok] / length[ok, None]).astype(np.float32)))
+    unit = np.where(length[:, None] > 1e-6, z / np.maximum(length, 1e-6)[:, None], 0).astype(np.float32)
+    sent = shipped(docs.sparkSession, (items, basis, doc, w, unit))
 
     def search(batches):
         own, v, of, item_words, unit = sent()
@@ -279,14 +286,20 @@ def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
                 cos = z[own_p] @ unit.T / full[own_p, None]
                 r, c = np.nonzero(cos >= LEAST_COSINE)
                 parts.append((doc[own_p[r]] * count + of[c], cos[r, c], own_p[r], c))
-            pair, cosine, d_at, i_at = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
-            if not len(pair):
+            held = own.verbatim(told)
+            exact = held[0] * count + held[1]
+            for d, i in zip(*held):  # leaks count at any cosine
+                mine, its = np.flatnonzero(doc == d), np.flatnonzero(of == i)
+                cos = z[mine] @ unit[its].T / full[mine, None]
+                r, c = np.unravel_index(cos.argmax(), cos.shape)
+                parts.append((np.array([d * count + i]), cos[r, c : c + 1], mine[[r]], its[[c]]))
+            if not parts:
                 continue
+            pair, cosine, d_at, i_at = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((-cosine, pair))
             order = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
             pair, cosine, d_at, i_at = pair[order], cosine[order], d_at[order], i_at[order]
-            exact = [d * count + own.verbatim(told[d]) for d in np.unique(pair // count)]
-            verbatim = np.isin(pair, np.concatenate(exact))
+            verbatim = np.isin(pair, exact)
             near = np.flatnonzero(verbatim | (cosine >= ALIKE))
             a, x = np.maximum(w[d_at[near]], 0), np.maximum(item_words[i_at[near]], 0)
             size = (item_words[i_at[near]] >= 0).sum(1)

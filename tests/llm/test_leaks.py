@@ -57,3 +57,19 @@ def test_blocks_of_items(spark, monkeypatch, block):
     dd = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     ii = spark.createDataFrame([(i, "en", ITEM) for i in range(3)], "item_id long, lang string, text string")
     assert leaks.leaked_items(dd, ii).count() == 3
+
+
+def test_leaks_that_stand_in_a_third_of_the_documents(spark):
+    run, rng = ITEM.split()[:12], np.random.default_rng(5)
+    docs = []
+    for n in range(600):
+        w = [f"w{k}" for k in rng.integers(0, 50_000, 120)]
+        if n % 3 == 0:
+            at = int(rng.integers(0, len(w)))
+            w[at:at] = run
+        docs.append((n, " ".join(w)))
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(1, "en", ITEM), (2, "en", "Which of the adapters drops a relation that points nowhere, and in which order are the others resolved")], "item_id long, lang string, text string")
+    got = leaks.leaked_items(dd, ii).filter("kind = 'verbatim'")
+    assert {tuple(r) for r in got.select("doc_id", "item_id").collect()} == {(n, 1) for n in range(0, 600, 3)}
+    assert got.filter(f"cosine < {leaks.LEAST_COSINE}").count() == 0
