@@ -28,8 +28,6 @@ LEAST_COSINE = 0.2
 #: Words in a row that make a leak (Chinese items, where each character is a word: LEAK_ZH), and for a paraphrase the share
 #: of an item's passage that is a common subsequence.
 LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
-#: Cosine from which on the most similar passages are compared as subsequences.
-ALIKE = 0.5
 #: Evaluation items of one block: what is broadcast grows with a block, not with the evaluation set.
 BLOCK_ITEMS = 4_000
 
@@ -173,6 +171,22 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[:, -1]
 
 
+def paraphrased(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of b (items' passages; -1 after the end) are covered to PARAPHRASE by a common subsequence with a, and the share.
+    A subsequence cannot be longer than the words of either row that both hold; only what that leaves is compared in order."""
+    at, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+    size = (b >= 0).sum(1)
+    possible = np.flatnonzero((size >= LEAK) & ((a > 0).sum(1) >= PARAPHRASE * size))
+    for lo in range(0, len(possible), 8192):
+        own = possible[lo : lo + 8192]
+        same = (a[own][:, :, None] == b[own][:, None, :]) & (a[own] > 0)[:, :, None]
+        own = own[np.minimum(same.any(1).sum(1), same.any(2).sum(1)) >= PARAPHRASE * size[own]]
+        part = subsequence(np.maximum(a[own], 0), np.maximum(b[own], 0)) / size[own]
+        at.append(own[part >= PARAPHRASE])
+        share.append(part[part >= PARAPHRASE])
+    return np.concatenate(at), np.concatenate(share)
+
+
 def _summed(parts: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums by term of the partitions' rows; what reaches the driver is bounded by the terms of a block of items."""
 
@@ -285,36 +299,37 @@ def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
                 own_p = alive[lo : lo + 1024]
                 cos = z[own_p] @ unit.T / full[own_p, None]
                 r, c = np.nonzero(cos >= LEAST_COSINE)
-                parts.append((doc[own_p[r]] * count + of[c], cos[r, c], own_p[r], c))
+                k, share = paraphrased(w[own_p[r]], item_words[c])
+                r, c = r[k], c[k]
+                parts.append((doc[own_p[r]] * count + of[c], cos[r, c], share))
             held = own.verbatim(told)
             exact = held[0] * count + held[1]
+            best = []
             for d, i in zip(*held):  # leaks count at any cosine
                 mine, its = np.flatnonzero(doc == d), np.flatnonzero(of == i)
                 cos = z[mine] @ unit[its].T / full[mine, None]
                 r, c = np.unravel_index(cos.argmax(), cos.shape)
-                parts.append((np.array([d * count + i]), cos[r, c : c + 1], mine[[r]], its[[c]]))
+                best.append((mine[r], its[c], cos[r, c]))
+            if best:
+                r, c, cos = (np.array(x) for x in zip(*best))
+                x = item_words[c]
+                parts.append((exact, cos, subsequence(np.maximum(w[r], 0), np.maximum(x, 0)) / (x >= 0).sum(1)))
             if not parts:
                 continue
-            pair, cosine, d_at, i_at = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((-cosine, pair))
-            order = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
-            pair, cosine, d_at, i_at = pair[order], cosine[order], d_at[order], i_at[order]
+            pair, cosine, share = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((-cosine, -share, pair))
+            order = order[np.r_[True, pair[order][1:] != pair[order][:-1]][: len(order)]]
+            pair, cosine, share = pair[order], cosine[order], share[order]
             verbatim = np.isin(pair, exact)
-            near = np.flatnonzero(verbatim | (cosine >= ALIKE))
-            a, x = np.maximum(w[d_at[near]], 0), np.maximum(item_words[i_at[near]], 0)
-            size = (item_words[i_at[near]] >= 0).sum(1)
-            share = subsequence(a, x) / np.maximum(size, 1)
-            keep = verbatim[near] | ((size >= LEAK) & (share >= PARAPHRASE))
-            near, share = near[keep], share[keep]
-            run = [longest_run(told[d], own.words[i]) if exactly else 0 for d, i, exactly in zip(pair[near] // count, pair[near] % count, verbatim[near])]
+            run = [longest_run(told[d], own.words[i]) if exactly else 0 for d, i, exactly in zip(pair // count, pair % count, verbatim)]
             yield pd.DataFrame(
                 {
-                    "doc_id": b["doc_id"].to_numpy()[pair[near] // count],
-                    "item_id": own.ids[pair[near] % count],
-                    "cosine": cosine[near].astype(float),
+                    "doc_id": b["doc_id"].to_numpy()[pair // count],
+                    "item_id": own.ids[pair % count],
+                    "cosine": cosine.astype(float),
                     "run": np.array(run, np.int32),
                     "common": share,
-                    "kind": np.where(verbatim[near], "verbatim", "paraphrase").astype(object),
+                    "kind": np.where(verbatim, "verbatim", "paraphrase").astype(object),
                 }
             )
 
@@ -325,9 +340,8 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, run, common, kind: documents that carry passages of evaluation items.
 
     kind `verbatim`: `run` (words in a row that both hold) is LEAK or more, LEAK_ZH where the item's lang is zh.
-    `paraphrase`: less, but the most similar passages have cosine ALIKE or more and a common subsequence that covers PARAPHRASE of
-    the item's. Null and empty
-    texts, and items shorter than a leak, have no verbatim row; repeated items are reported one by one; rows with one
+    `paraphrase`: less, but some passages of both have cosine LEAST_COSINE or more and a common subsequence that covers
+    PARAPHRASE of the item's; `common` is the largest share of such. Null and empty texts, and items shorter than a leak, have no verbatim row; repeated items are reported one by one; rows with one
     doc_id count as one. An empty table gives an empty result. Texts are read whole. Other columns are ignored.
     """
     blocks = max(1, -(-eval_items.count() // BLOCK_ITEMS))

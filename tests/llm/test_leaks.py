@@ -73,3 +73,26 @@ def test_leaks_that_stand_in_a_third_of_the_documents(spark):
     got = leaks.leaked_items(dd, ii).filter("kind = 'verbatim'")
     assert {tuple(r) for r in got.select("doc_id", "item_id").collect()} == {(n, 1) for n in range(0, 600, 3)}
     assert got.filter(f"cosine < {leaks.LEAST_COSINE}").count() == 0
+
+
+def test_paraphrases_of_all_passages():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, (4000, leaks.PASSAGE)), rng.integers(1, 9, (4000, leaks.PASSAGE))
+    b[:2000] = np.where(rng.random((2000, leaks.PASSAGE)) < 0.8, a[:2000], b[:2000])
+    b[np.arange(leaks.PASSAGE) >= rng.integers(8, 25, 4000)[:, None]] = -1
+    size = (b >= 0).sum(1)
+    share = leaks.subsequence(a, np.maximum(b, 0)) / size
+    want = np.flatnonzero((size >= leaks.LEAK) & (share >= leaks.PARAPHRASE))
+    at, got = leaks.paraphrased(a, b)
+    assert 0 < len(want) < 4000 and at.tolist() == want.tolist() and np.allclose(got, share[want])
+
+
+def test_paraphrase_in_a_passage_that_is_not_the_most_similar(spark):
+    w = leaks.words(ITEM + " before the next stage begins to read it")
+    part = [x if k % 4 != 3 else f"other{k}" for k, x in enumerate(w[:24])]  # 18 of 24 words, 3 in a row at most
+    rare = " ".join(w[18:24] + w[12:18] + w[6:12] + w[:6])  # all words, but no order
+    docs = [(1, rare + " " + " ".join(part)), (2, " ".join(part)), (3, rare)] + [(n, f"filler{n} words that stand nowhere else{n}") for n in range(4, 40)]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(1, "en", " ".join(w))], "item_id long, lang string, text string")
+    got = {r["doc_id"] for r in leaks.leaked_items(dd, ii).filter("kind = 'paraphrase'").collect()}
+    assert got == {1, 2}
