@@ -64,6 +64,29 @@ STATS = "chars int, lines int, longest int, mean_line double, blank double, alnu
 _BLANKS, _ALNUM = b" \t\r\n\f\v", bytes(c for c in range(128) if chr(c).isalnum()) + bytes(range(128, 256))
 
 
+def leading(full: list[str]) -> list[str]:
+    """Comment lines, out of a text's lines that are not blank, before the first line of code or among the first six.
+    Of a docstring only the first line is given; the lines after it are passed over."""
+    out, ends = [], ""
+    for k, x in enumerate(full):
+        inside, opening = ends, COMMENT.match(x)
+        if not inside and not opening:
+            if k >= 6 or not any(COMMENT.match(y) for y in full[k + 1 : 6]):
+                break
+            continue
+        if not inside:
+            mark = x.strip()
+            ends = next((e for m, e in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""')) if mark.startswith(m)), "")
+            rest = mark[3:] if ends == '"""' else mark[2:]
+        else:
+            rest = x
+        if ends and ends in rest:
+            x, ends = (x[: x.index(ends, x.index(rest) if rest else 0)] if ends != '"""' else x), ""
+        if inside != '"""' or opening and k < 6:
+            out.append(x)
+    return out
+
+
 def statistics(text: str | None) -> tuple:
     """Layout of one text; see STATS. Null is as empty."""
     t = (text or "").lstrip("﻿")
@@ -72,9 +95,9 @@ def statistics(text: str | None) -> tuple:
     lines = t.splitlines() or [""]
     sizes = [len(x) for x in lines]
     full = [x for x in lines if x.strip()]
-    top = full[:6]
-    release = any(RELEASE.search(x) and not NOT_RELEASE.search(x) for x in top if COMMENT.match(x) and len(x) < 200)
-    tool = any(TOOL.search(x) for x in top if COMMENT.match(x) and len(x) < 200)
+    top = leading(full)
+    release = any(RELEASE.search(x) and not NOT_RELEASE.search(x) for x in top)
+    tool = any(TOOL.search(x) for x in top)
     numeric = sum(m.end() - m.start() for m in NUMBER.finditer(t)) / max(1, n - sum(data.count(bytes([b])) for b in _BLANKS))
     encoded = sum(m.end() - m.start() for m in ENCODED.finditer(t)) / n
     literal = sum(bool(LITERAL_LINE.match(x)) for x in full) / max(1, len(full)) if numeric > 0.2 or encoded > 0.2 else 0.0

@@ -209,6 +209,19 @@ def test_file_origins(spark, path, text, kind):
     assert [tuple(r) for r in handwritten.file_origins(f, s).select("path", "kind").collect()] == [(path, kind)]
 
 
+def test_markers_after_a_long_licence():
+    licence = ["Use is governed by the licence file.", "It may be copied as a whole."] * 5
+    tool = handwritten.STATS.split(", ").index("tool boolean")
+    slashes = "".join(f"// {x}\n" for x in licence)
+    block = "/*\n" + "\n".join(licence) + "\n"
+    for text, want in [
+        (slashes + "\n// Code generated by tool. DO NOT EDIT.\npackage a\n", True), (block + "Code generated by tool. DO NOT EDIT.\n*/\nint a;\n", True), (block + "*/\n// Code generated by tool. DO NOT EDIT.\nint a;\n", True),
+        ("// " + "x " * 150 + "Code generated by tool. DO NOT EDIT.\npackage a\n", True), (slashes + "package a\n" + "// Code generated by tool. DO NOT EDIT.\n", False), (block + "*/\nint a;\n", False),
+    ]:
+        assert handwritten.statistics(text)[tool] is want
+    assert handwritten.statistics(slashes + "// libx v1.2.3 - upstream release, do not patch here\nf();\n")[tool + 1]
+
+
 def test_file_origins_of_empty_tables(spark):
     f = spark.createDataFrame([("r", "vendor/lib-1.2.0/x.js", "js", 3), ("r", None, "js", 3)], "repo_id string, path string, language string, end_line int")
     s = spark.createDataFrame([], "repo_id string, path string, content string")
