@@ -1,10 +1,11 @@
-"""Encoding of the whole corpus with a public byte-level BPE tokenizer, long texts by tree concatenation.
-
-Texts up to LONG characters are encoded in one go. A longer one is cut into parts that other tasks encode: preferably
-where the tokenizer's own pattern must end a piece; inside a run that offers no such place (one endless word, ruler or
-blank) wherever the part is full. Parts are then joined in pairs, as a tree. At a cut inside a piece a window around
-the join is encoded anew and grown until its outermost tokens agree with both sides: as every pair of neighbouring
-tokens inside and at the edges of the window is then one that the encoding itself produces, so is the whole.
+"""Encoding of the whole corpus with a public byte-level BPE tokenizer by tree concatenation.
+
+Every text is cut into leaves of at most LEAF characters, leaves are encoded on their own, and neighbours are joined in
+pairs up to the root. A cut falls where the tokenizer's own pattern ends a piece; only inside a piece longer than what is
+left of a leaf (one endless word, ruler or blank) it falls anywhere. There a window around the join is encoded anew and
+grown until its outermost tokens agree with both sides: as every pair of neighbouring tokens inside and at the edges of
+the window is then one that the encoding itself produces, so is the whole. Leaves of a segment (SEGMENT characters) are
+joined where they were encoded; a text of several segments is joined further across tasks, FAN neighbours at a time.
 """
 
 from __future__ import annotations
@@ -25,31 +26,100 @@ from graphlens.tables import shipped, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer cuts a text into pieces before it merges bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a text, and of a part of a longer one, that one call encodes.
-LONG = 1 << 17
-PART = 1 << 15
-#: How far back from a full part a natural end is looked for, and how far inside a run a cut stays from its end.
-LOOK, INSIDE = 1024, 16
+#: Characters of a leaf, and of a segment whose leaves one task encodes.
+LEAF, SEGMENT = 512, 1 << 17
+#: How far back from a full leaf an end of a piece is looked for first.
+LOOK = 64
+#: Parts that one step across tasks joins, and such steps: FAN ** STEPS segments are more than a string can hold.
+FAN, STEPS = 16, 4
+
+
+def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
-PIECES = regex.compile(PATTERN)
-SAFE_END = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=\s)")
+
+@cache
+def narrowed(kind: str) -> str:
+    """`kind` (\\p{L} or \\p{N}) as a class that holds only the characters that the tokenizer's own engine counts there, too:
+    the two engines know different versions of Unicode."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    own = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    more = np.array(sorted(set(map(ord, regex.findall(kind, every))) - set(map(ord, own.decode(own.encode_ordinary(every))))), np.int64)
+    if not len(more):
+        return rf"[{kind}]"
+    runs = np.split(more, np.flatnonzero(np.diff(more) > 1) + 1)
+    return rf"[{kind}--[{''.join(rf'\U{r[0]:08x}-\U{r[-1]:08x}' for r in runs)}]]"
+
+
+class Cutter:
+    """Leaves of a text. Where a piece must end whatever stands before it is looked for near the end of a full leaf; only
+    where no such place is near are the pieces themselves matched, from the last place that is sure."""
+
+    def __init__(self, letters: str, digits: str):
+        self.patterns = letters, digits
+        none = f"[^\\s{letters}{digits}]"
+        self.piece = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?{letters}+| ?{digits}+| ?{none}+|\s+(?!\S)|\s+", regex.V1)
+        self.sure = regex.compile(rf"(?<={letters})(?!{letters})|(?<={digits})(?!{digits})|(?<=\S)(?=\s)", regex.V1)
+        self.after_blank = regex.compile(r"(?<=\s)(?=\S)")
+
+    def __reduce__(self):
+        return Cutter, self.patterns
+
+    def _last_sure(self, text: str, low: int, stop: int) -> int:
+        # the search ends one character later than a cut may fall, so that what follows the place is seen
+        return max((m.start() for m in self.sure.finditer(text, low, min(len(text), stop + 1)) if low < m.start() <= stop), default=-1)
+
+    def leaves(self, text: str, size: int) -> list[tuple[int, int, int, bool]]:
+        """(begin, end, head, glued) in order: the first `head` characters belong to a piece that began before the leaf; all
+        of a `glued` leaf lies in a piece that goes on after it."""
+        out, start, over = [], 0, 0
+        begin = end = 0  # the piece that was looked at last; at its end a piece ends for sure
+        while len(text) - start > size:
+            stop = start + size
+            if stop >= end:
+                before = max(start, end)
+                at = near = self._last_sure(text, max(before, stop - LOOK), stop)
+                if near < 0:
+                    at = self._last_sure(text, before, stop)
+                if at >= 0:
+                    begin = end = at
+                if near < 0:
+                    for m in self.piece.finditer(text, end):
+                        begin, end = m.span()
+                        if end >= stop:
+                            break
+            cut = end if end <= stop else begin if begin > start else stop
+            if cut - 1 > start and not begin < cut < end and self.after_blank.match(text, cut):
+                cut -= 1  # the last blank before a word is a piece only because of that word
+            glued = begin < cut < end
+            out.append((start, cut, max(0, min(over, cut) - start), glued))
+            start, over = cut, end if glued else cut
+        out.append((start, len(text), max(0, over - start), False))
+        return out
 
 
 class Encoder:
-    """ids() of a whole text, and the parts of a tree: (ids, tokens of the first piece, tokens of the last piece)."""
+    """ids() of a whole text; leaf() and join() of its parts: (ids, tokens of the head, tokens of the tail)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.piece = cache(lambda data: tuple(self.bpe._encode_single_piece(data)))
 
     def ids(self, text: str) -> list[int]:
         return self.bpe.encode_ordinary(text)
 
-    def part(self, text: str) -> tuple[list[int], int, int]:
-        found = PIECES.findall(text)
-        first = len(self.bpe._encode_single_piece(found[0].encode()))
-        return self.ids(text), first, first if len(found) == 1 else len(self.bpe._encode_single_piece(found[-1].encode()))
+    def one(self, text: str) -> list[int]:
+        return self.bpe._encode_single_piece(text.encode("utf-8", "replace"))
+
+    def leaf(self, text: str, head: int, glued: bool) -> tuple[list[int], int, int]:
+        if not head and not glued:
+            return self.ids(text), 0, 0
+        if glued or head == len(text):
+            whole = self.one(text)
+            return whole, len(whole) * (head > 0), len(whole) * glued
+        a = self.one(text[:head])
+        return a + self.ids(text[head:]), len(a), 0
 
     def join_piece(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of one piece from those of its two halves."""
@@ -61,83 +131,77 @@ class Encoder:
                 return a[: len(a) - len(left)] + new + b[len(right) :]
             k *= 2
 
-    def join(self, a: tuple, b: tuple, glued: bool) -> tuple[list[int], int, int]:
-        """Two neighbouring parts as one; `glued`: they were cut inside a piece."""
-        (x, x_first, x_last), (y, y_first, y_last) = a, b
-        if not glued:
-            return x + y, x_first, y_last
-        middle = self.join_piece(x[len(x) - x_last :], y[:y_first])
-        first = len(middle) if x_first == len(x) == x_last else x_first
-        last = len(middle) if y_first == len(y) == y_last else y_last
-        return x[: len(x) - x_last] + middle + y[y_first:], first, last
-
-    def tree(self, parts: list[tuple], glued: list[bool]) -> list[int]:
-        """glued[i]: part i was cut off inside a piece of part i - 1."""
+    def join(self, a: tuple, b: tuple) -> tuple[list[int], int, int]:
+        """Two neighbouring parts as one."""
+        (x, x_head, x_tail), (y, y_head, y_tail) = a, b
+        if not x_tail:
+            return x + y, x_head, y_tail
+        middle = self.join_piece(x[len(x) - x_tail :], y[:y_head])
+        # where all of a side is inside the piece, so is what was the piece's part on that side
+        head = len(middle) if x_head == len(x) else x_head
+        tail = len(middle) if y_tail == len(y) == y_head else y_tail
+        return x[: len(x) - x_tail] + middle + y[y_head:], head, tail
+
+    def tree(self, parts: list[tuple]) -> tuple[list[int], int, int]:
         while len(parts) > 1:
-            pairs = range(0, len(parts) - 1, 2)
             odd = [parts[-1]] if len(parts) % 2 else []
-            parts, glued = [self.join(parts[i], parts[i + 1], glued[i + 1]) for i in pairs] + odd, glued[::2]
-        return parts[0][0]
+            parts = [self.join(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)] + odd
+        return parts[0]
 
+    def encode(self, text: str, leaves: list[tuple[int, int, int, bool]]) -> tuple[list[int], int, int]:
+        return self.tree([self.leaf(text[b:e], head, glued) for b, e, head, glued in leaves])
 
-def cut_parts(text: str, size: int = PART) -> list[tuple[bool, str]]:
-    """(cut inside a piece, part) in order; the parts together are the text."""
-    out, start, glued = [], 0, False
-    while len(text) - start > size:
-        stop = start + size
-        # the search ends one character later than a cut may fall, so that each cut sees what follows it
-        ends = [m.start() for m in SAFE_END.finditer(text, max(start + 1, stop - LOOK), stop + 1) if m.start() <= stop]
-        end = ends[-1] if ends else stop - INSIDE
-        out.append((glued, text[start:end]))
-        start, glued = end, not ends
-    return [*out, (glued, text[start:])]
 
-
-def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, long: int = LONG, part: int = PART) -> DataFrame:
+def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF, segment: int = SEGMENT) -> DataFrame:
     """doc_id and ids, one row per row of `documents` (a doc_id on several rows gives several rows).
 
     Null and empty texts both give an empty list; strings that look like special tokens are ordinary text. Texts of any
-    length are encoded whole. Other columns are ignored; an empty table gives an empty result.
+    length are encoded whole. Other columns are ignored; an empty table gives an empty result. A text of more than one
+    segment moves once per step of the tree above segments; one that fits a segment is never moved.
     """
-    encoder = shipped(documents.sparkSession, read_vocabulary(vocabulary))
+    sent = shipped(documents.sparkSession, (read_vocabulary(vocabulary), Cutter(narrowed(r"\p{L}"), narrowed(r"\p{N}"))))
     rows = documents.select("doc_id", "text")
+    per = max(1, segment // leaf)
 
     def whole(batches):
-        own = Encoder(encoder())
+        ranks, cutter = sent()
+        own = Encoder(ranks)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.array(own.ids(t) if t else [], np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.array(own.encode(t, cutter.leaves(t, leaf))[0] if t else [], np.int32) for t in b["text"]]})
 
     def cut(batches):
+        _, cutter = sent()
         for b in batches:
-            for keys in b.itertuples(index=False):
-                parts = cut_parts(keys.text, part)
-                yield pd.DataFrame({"doc_id": keys.doc_id, "h1": keys.h1, "h2": keys.h2, "copies": keys.copies, "n": range(len(parts)), "glued": [g for g, _ in parts], "text": [t for _, t in parts]})
-
-    def encode(batches):
-        own = Encoder(encoder())
+            for r in b.itertuples(index=False):
+                leaves = cutter.leaves(r.text, leaf)
+                for n in range(0, len(leaves), per):
+                    own = np.array(leaves[n : n + per])
+                    text = r.text[own[0, 0] : own[-1, 1]]
+                    own[:, :2] -= own[0, 0]
+                    yield pd.DataFrame({"doc_id": [r.doc_id], "h1": r.h1, "h2": r.h2, "copies": r.copies, "n": n // per, "leaves": [own.ravel()], "text": text})
+
+    def encoded(batches):
+        own = Encoder(sent()[0])
         for b in batches:
-            done = [own.part(t) for t in b["text"]]
-            yield b[["doc_id", "h1", "h2", "copies", "n", "glued"]].assign(ids=[np.array(x[0], np.int32) for x in done], first=[x[1] for x in done], last=[x[2] for x in done])
+            done = [own.encode(t, [tuple(x) for x in at.reshape(-1, 4).tolist()]) for t, at in zip(b["text"], b["leaves"])]
+            yield b[["doc_id", "h1", "h2", "copies", "n"]].assign(ids=[np.array(x[0], np.int32) for x in done], head=[x[1] for x in done], tail=[x[2] for x in done])
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("n")
-        ids = Encoder(encoder()).tree([(list(map(int, x)), f, last) for x, f, last in zip(b["ids"], b["first"], b["last"])], list(b["glued"]))
-        return pd.DataFrame({"doc_id": [b["doc_id"].iloc[0]] * int(b["copies"].iloc[0]), "ids": [np.array(ids, np.int32)] * int(b["copies"].iloc[0])})
+        ids, head, tail = Encoder(sent()[0]).tree([(x.tolist(), h, t) for x, h, t in zip(b["ids"], b["head"], b["tail"])]) if len(b) > 1 else (b["ids"].iloc[0], b["head"].iloc[0], b["tail"].iloc[0])
+        return b[["doc_id", "h1", "h2", "copies"]].head(1).assign(n=b["n"].iloc[0] // FAN, ids=[np.array(ids, np.int32)], head=head, tail=tail)
 
     size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.filter(size <= long).mapInPandas(whole, "doc_id long, ids array<int>")
+    short = rows.filter(size <= segment).mapInPandas(whole, "doc_id long, ids array<int>")
     # a long text's row is known by its hashes, so that a task that runs again gives the same keys; equal rows are encoded once
     same = ["doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    lengthy = rows.filter(size > long).groupBy(*same).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    keyed = "doc_id long, h1 long, h2 long, copies long, n int, glued boolean"
-    parts = lengthy.mapInPandas(cut, f"{keyed}, text string").repartition("doc_id", "h1", "h2", "n")
-    parts = parts.mapInPandas(encode, f"{keyed}, ids array<int>, first int, last int")
-    return short.unionByName(parts.groupBy("doc_id", "h1", "h2").applyInPandas(joined, "doc_id long, ids array<int>"))
+    lengthy = rows.filter(size > segment).groupBy(*same).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    keyed, part = "doc_id long, h1 long, h2 long, copies long, n int", "ids array<int>, head int, tail int"
+    parts = lengthy.mapInPandas(cut, f"{keyed}, leaves array<int>, text string").repartition("doc_id", "h1", "h2", "n").mapInPandas(encoded, f"{keyed}, {part}")
+    for _ in range(STEPS):
+        parts = parts.groupBy("doc_id", "h1", "h2", F.floor(F.col("n") / FAN).alias("up")).applyInPandas(joined, f"{keyed}, {part}")
+    long = parts.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return short.unionByName(long)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,16 +237,52 @@ def encoder():
     return tokens.Encoder(tokens.read_vocabulary())
 
 
-def test_tree_concatenation_is_exact(encoder, monkeypatch):
+@pytest.fixture(scope="module")
+def cutter():
+    return tokens.Cutter(tokens.narrowed(r"\p{L}"), tokens.narrowed(r"\p{N}"))
+
+
+def _tree(encoder, cutter, text, size):
+    leaves = cutter.leaves(text, size)
+    assert leaves[0][0] == 0 and leaves[-1][1] == len(text) and all(a[1] == b[0] and 0 < a[1] - a[0] <= size for a, b in zip(leaves, leaves[1:]))
+    return encoder.encode(text, leaves)[0]
+
+
+def test_tree_concatenation_is_exact(encoder, cutter, monkeypatch):
     monkeypatch.setattr(tokens, "LOOK", 8)
-    monkeypatch.setattr(tokens, "INSIDE", 4)
     rng = random.Random(1)
-    alphabets = ["a", "abcdeé中文 ", " ", "=-#'!", "0123 ab'\n", "'sltd "]
-    for n in range(300):
-        text = rng.choice(["", "don't "]) + "".join(rng.choice(alphabets[n % 6]) for _ in range(rng.randint(30, 700))) + rng.choice(["", "'ll", "'s x", "z"])
-        parts = tokens.cut_parts(text, rng.choice([24, 40, 64]))
-        assert "".join(p for _, p in parts) == text
-        assert encoder.tree([encoder.part(p) for _, p in parts], [g for g, _ in parts]) == encoder.ids(text)
+    alphabets = ["a", "abcdeé中文 ", " ", "=-#'!", "0123 ab'\n", "'sltd ", "\n\r a", "\u088fa\u0558b1\U00011de1 "]
+    for n in range(400):
+        text = rng.choice(["", "don't "]) + "".join(rng.choice(alphabets[n % 8]) for _ in range(rng.randint(30, 700))) + rng.choice(["", "'ll", "'s x", "z"])
+        assert _tree(encoder, cutter, text, rng.choice([7, 24, 40, 64])) == encoder.ids(text)
+
+
+@pytest.mark.parametrize("marks,letters,times", [("'", "s", 4096), ("\n", "a", 4096), ("'", "re", 2048), (" ", "'ve", 2048), ("=", "1", 4096), (" ", "é", 3000)])
+def test_runs_that_meet_at_a_cut(encoder, cutter, marks, letters, times):
+    for size in (tokens.LEAF, 64):
+        for off in range(-24, 25):
+            text = marks * (tokens.LEAF + off) + letters * times
+            assert _tree(encoder, cutter, text, size) == encoder.ids(text)
+
+
+def test_runs_at_the_cuts_of_longer_parts(encoder, cutter):
+    for text in ("'" * (32768 - 16) + "s" * 131072, "'" * (32768 - 15) + "s" * 131072, "\n" * (32768 - 16) + "a" * 131072, "'" * (32768 - 15) + "re" * 131072):
+        assert _tree(encoder, cutter, text, 32768) == encoder.ids(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=300), st.integers(3, 50))
+def test_tree_of_any_text(encoder, cutter, text, size):
+    if text:
+        assert _tree(encoder, cutter, text, size) == encoder.ids(text)
+
+
+def test_given_documents_by_their_trees(spark, encoder):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    want = {r["doc_id"]: encoder.ids(r["text"] or "") for r in docs.collect()}
+    assert max(map(len, (r["text"] or "" for r in docs.collect()))) > tokens.LEAF
+    for leaf, segment in ((tokens.LEAF, tokens.SEGMENT), (32, 64)):
+        assert {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(docs, leaf=leaf, segment=segment).collect()} == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -264,7 +300,7 @@ def test_same_as_the_other_library(encoder, text):
 def test_encode_corpus(spark, encoder):
     texts = [None, "", "<|endoftext|>", "x" * 500, "The scanner reads. " * 60, " " * 300 + "a"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(4, texts[4], "again"), (3, "y" * 400, "")], "doc_id long, text string, ids string")
-    got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df, long=100, part=64).collect())
+    got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df, leaf=16, segment=64).collect())
     assert got == sorted([(i, encoder.ids(t or "")) for i, t in enumerate(texts)] + [(4, encoder.ids(texts[4])), (3, encoder.ids("y" * 400))])
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
