@@ -209,6 +209,17 @@ def test_file_origins(spark, path, text, kind):
     assert [tuple(r) for r in handwritten.file_origins(f, s).select("path", "kind").collect()] == [(path, kind)]
 
 
+def test_layout_by_language(spark):
+    sparse = "func f() {\n" + "    a.b(c, d, e, f, g)\n" * 30 + "}\n"
+    wide = "x=" + "a.b(c)," * 7 + ";"
+    texts = [("a.go", sparse, "machine"), ("b.go", "// " + "The scanner reads every file once. " * 8 + "\n" + sparse, "written"), ("c.js", (wide * 9 + "\n") * 3, "minified"), ("d.go", (wide * 9 + "\n") * 3, "written"), ("e.min.js", wide * 5, "minified"), ("f.js", wide * 5, "written"), ("g.c", None, "written"), ("h.c", "1, 2,\n" * 8, "data"), ("h2.c", "1, 2,\n" * 7, "machine")]
+    f = spark.createDataFrame([("r", p, None, None) for p, _, _ in texts] + [("r", "i.py", None, 3)], "repo_id string, path string, language string, end_line int")
+    s = spark.createDataFrame([("r", p, t) for p, t, _ in texts], "repo_id string, path string, content string")
+    got = {r["path"]: r["layout"] for r in handwritten.file_origins(f, s).collect()}
+    assert got == {p: k for p, _, k in texts} | {"i.py": None}
+    assert set(handwritten.LIMITS) == set(handwritten.LANGUAGE_OF) | {""}
+
+
 def test_markers_after_a_long_licence():
     licence = ["Use is governed by the licence file.", "It may be copied as a whole."] * 5
     tool = handwritten.STATS.split(", ").index("tool boolean")
@@ -216,7 +227,7 @@ def test_markers_after_a_long_licence():
     block = "/*\n" + "\n".join(licence) + "\n"
     for text, want in [
         (slashes + "\n// Code generated by tool. DO NOT EDIT.\npackage a\n", True), (block + "Code generated by tool. DO NOT EDIT.\n*/\nint a;\n", True), (block + "*/\n// Code generated by tool. DO NOT EDIT.\nint a;\n", True),
-        ("// " + "x " * 150 + "Code generated by tool. DO NOT EDIT.\npackage a\n", True), (slashes + "package a\n" + "// Code generated by tool. DO NOT EDIT.\n", False), (block + "*/\nint a;\n", False),
+        ("// " + "x " * 150 + "Code generated by tool. DO NOT EDIT.\npackage a\n", True), (slashes + "package a\n" + "// Code generated by tool. DO NOT EDIT.\n", True), (slashes + "package a\nvar x = \"// Code generated by tool. DO NOT EDIT.\"\n", False), (block + "*/\nint a;\n", False),
     ]:
         assert handwritten.statistics(text)[tool] is want
     assert handwritten.statistics(slashes + "// libx v1.2.3 - upstream release, do not patch here\nf();\n")[tool + 1]
