@@ -1,7 +1,7 @@
 """Functions paired with their documentation: packrat grammars for signatures and documentation comments.
 
-The documentation grammar tells text from rulers, tags, examples and code, per comment style; the signature grammars,
-one per language, give name, parameters and return type. Both keep offsets. A pair is kept where some sentence of the text
+The documentation grammar tells text from rulers, tags, examples and code, per comment style; the signature grammar of the
+file's language gives name, parameters and return type. Both keep offsets. A pair is kept where some sentence of the text
 is neither a placeholder, a pointer elsewhere, a licence notice, the name over again, nor code.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm.natural import latest_symbols
-from graphlens.llm.peg import absent, choice, emit, many, maybe, parse, rule, seq, token
-from graphlens.llm.prose import CJK, CODE_MARK, CUT, SPAN, WORD
+from graphlens.llm.peg import Expr, absent, choice, emit, many, maybe, parse, rule, seq, token
+from graphlens.llm.prose import CJK, CODE_MARK, CUT, SPAN, WORD, file_languages
 from graphlens.tables import table
 
 # -- documentation comments ------------------------------------------------------------------------------------------
@@ -65,37 +66,63 @@ def style_of(doc: str) -> str:
 
 # -- signatures ------------------------------------------------------------------------------------------------------
 
-_blank = token(r"\s*")
-_name = emit("name", r"[~\w$]+(?:(?:::|\.)[~\w$]+)*")
-_type = r"[\w:.<>\[\]&*?,' ]*[\w>\]&*?]"
-_arguments = seq(token(r"\s*(?:<[^()]*>)?\s*\("), emit("parameters", r"((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)"), token(r"\)"))
-_open = token(r"\s*(?:\{|=>|;|:)?[^\n]*\Z", re.S)
 
-
-def _returns(mark: str):
-    return maybe(emit("returns", rf"\s*{mark}\s*({_type})"))
-
-
-SIGNATURES = {
-    "go": seq(token(r"\s*func\s+"), maybe(seq(token(r"\("), emit("receiver", r"[^()]*"), token(r"\)\s*"))), _name, _arguments, maybe(emit("returns", r"\s*([^{\s][^{]*?)\s*(?=\{|\Z)")), _open),
-    "rust": seq(token(r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern(?:\s+\"\w+\")?)\s+)*fn\s+"), _name, _arguments, _returns("->"), _open),
-    "javascript": choice(
-        seq(token(r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*"), maybe(_name), _arguments, _returns(":"), _open),
-        seq(token(r"\s*(?:export\s+)?(?:const|let|var)\s+"), _name, token(r"\s*=\s*(?:async\s*)?"), choice(_arguments, emit("parameters", r"[\w$]+")), token(r"\s*=>"), _open),
-    ),
-    "python": seq(token(r"\s*(?:(?:async\s+)?def\s+)?"), _name, _arguments, _returns("->"), _open),
-    "c": seq(token(r"\s*(?:template\s*<[^\n]*?>\s*)?"), emit("returns", r"((?:[\w:.<>\[\],?]+[*& \t]+)+)(?=[~\w:]+\s*\()"), _blank, _name, _arguments, _open),
-}
-
-
-def signature_parts(signature: str) -> dict[str, str] | None:
-    """language, name, parameters, returns of a signature, by the first grammar that takes all of it."""
-    for language, grammar in SIGNATURES.items():
-        values = parse(grammar, signature)
-        if values is not None:
-            found = {kind: text.strip() for kind, _, _, text in values}
-            return {"language": language, "name": re.split(r"::|\.", found.get("name", ""))[-1], "parameters": found.get("parameters", ""), "returns": found.get("returns", "")}
-    return None
+def signatures() -> dict[str, Expr]:
+    """One grammar per language. Values: ("name" | "parameters" | "returns" | "receiver", begin, end, text)."""
+    blank = rule("blank", token(r"\s*"))
+    # parameters: anything with round brackets in pairs, three deep, quoted text aside
+    flat = r"[^()\"']|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|'"
+    inner = flat
+    for _ in range(3):
+        inner = rf"{flat}|\((?:{inner})*\)"
+    arguments = rule("arguments", seq(token(r"\s*\("), emit("parameters", rf"((?:{inner})*)"), token(r"\)")))
+    generic = token(r"\s*(?:<(?:[^<>()]|<(?:[^<>()]|<[^<>()]*>)*>)*>)?")
+    name = emit("name", r"[\w$]+")
+    rest = token(r"\s*(?:\{|=>|;|:|=)?.*\Z", re.S)
+    end = token(r"\s*(?:\{.*|;.*|)\Z", re.S)
+    words = lambda kinds: many(rule(kinds, token(rf"(?:{kinds})\b\s*")))
+    typed = r"[\w.:$]+(?:\s*<(?:[^<>()]|<(?:[^<>()]|<[^<>()]*>)*>)*>)?(?:\s*\[\s*\])*"
+    marks = many(token(r"@\w+(?:\.\w+)*(?:\([^()]*\))?\s*"))
+    java_type = emit("returns", rf"{typed}(?:\.\.\.)?(?=\s+[\w$]+\s*\()")
+    js_returns = maybe(emit("returns", r"\s*:\s*([^={]+?)\s*(?==>|\{|;|\Z)"))
+    c_words = "static|inline|extern|virtual|explicit|constexpr|friend|register|_Noreturn|__inline|typedef"
+    c_type = r"(?:(?:const|volatile|unsigned|signed|long|short|struct|enum|union|class|typename)\s+)*" + typed + r"(?:\s+(?:const|long|int|short|char|double))*(?:\s*(?:[*&]+|\bconst\b))*"
+    after_cpp = token(r"\s*(?:(?:const|noexcept(?:\([^()]*\))?|override|final|volatile|&{1,2}|=\s*(?:0|default|delete))\s*)*")
+    cpp_name = emit("name", r"(?:[\w$]+(?:<[^<>()]*>)?::)*(?:operator\s*(?:\(\)|\[\]|[^\s\w(]+|[\w:*& ]+)|~?[\w$]+)")
+    return {
+        "go": seq(token(r"\s*func\s+"), maybe(seq(token(r"\("), emit("receiver", r"[^()]*"), token(r"\)\s*"))), name, token(r"\s*(?:\[[^\]()]*\])?"), arguments, maybe(emit("returns", r"\s*([^{\s](?:[^{]|\{\})*?)\s*(?=\{\s*\Z|\{[^}]|\Z)")), end),
+        "rust": seq(blank, many(token(r"#\[[^\]]*\]\s*")), token(r"(?:pub(?:\s*\([^)]*\))?\s+)?"), words(r"async|const|unsafe|extern(?:\s+\"[^\"]*\")?"), token(r"fn\s+"), name, generic, arguments, maybe(emit("returns", r"\s*->\s*([^{;]+?)\s*(?=\bwhere\b|\{|;|\Z)")), token(r"(?:\s*where\b[^{;]*)?"), end),
+        "javascript": choice(
+            seq(blank, words("export|default|declare|async"), token(r"function\b\s*\*?\s*"), maybe(name), generic, arguments, js_returns, rest),
+            seq(blank, words("export|default|declare"), token(r"(?:const|let|var)\s+"), name, token(r"\s*(?::[^=]+)?=\s*"), choice(seq(token(r"(?:async\s*)?"), generic, arguments, js_returns, token(r"\s*=>")), seq(token(r"(?:async\s+)?"), emit("parameters", r"[\w$]+"), token(r"\s*=>")), seq(token(r"(?:async\s+)?function\b\s*\*?\s*[\w$]*"), arguments)), rest),
+            seq(blank, marks, words(r"(?:public|private|protected|static|async|get|set|override|abstract|readonly)(?=\s+[\w$#*\[])"), token(r"\*?\s*#?"), choice(name, emit("name", r"\[[^\]]+\]")), token(r"\??"), generic, arguments, js_returns, end),
+        ),
+        "python": seq(blank, marks, token(r"(?:(?:async\s+)?def\s+)?"), name, token(r"\s*(?:\[[^\]()]*\])?"), arguments, maybe(emit("returns", r"\s*->\s*([^:]*(?::(?!\s*\Z)[^:]*)*?)\s*(?=:?\s*\Z|:\s)")), token(r"\s*(?::.*|)\Z", re.S)),
+        "java": seq(blank, marks, words("public|protected|private|static|final|abstract|synchronized|native|default|strictfp"), marks, token(r"(?:<(?:[^<>()]|<(?:[^<>()]|<[^<>()]*>)*>)*>\s*)?"), maybe(java_type), blank, name, arguments, token(r"(?:\s*\[\s*\])*\s*(?:throws\s+[\w.]+(?:\s*,\s*[\w.]+)*)?"), end),
+        "cpp": choice(
+            seq(blank, token(r"(?:template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*)?"), many(token(r"\[\[[^\]]*\]\]\s*")), words(c_words), emit("returns", rf"({c_type})(?=[\s*&]+(?:[\w$]+(?:<[^<>()]*>)?::)*(?:operator\b[^(]*|~?[\w$]+)\s*\()"), token(r"[\s*&]*"), cpp_name, arguments, after_cpp, maybe(emit("returns", r"\s*->\s*([^{;]+?)\s*(?=\{|;|\Z)")), end),
+            seq(blank, token(r"(?:template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*)?"), words(c_words), cpp_name, arguments, after_cpp, token(r"\s*(?::(?!:)[^{;]*)?"), end),
+        ),
+        "c": seq(blank, words(c_words), many(token(r"__attribute__\s*\(\([^()]*(?:\([^()]*\))?[^()]*\)\)\s*")), emit("returns", rf"({c_type})(?=[\s*]+[\w$]+\s*\()"), token(r"[\s*]*"), name, arguments, end),
+    }
+
+
+SIGNATURES = signatures()
+PART_COLUMNS = ("parsed", "name", "parameters", "returns", "name_begin", "name_end")
+
+
+def signature_parts(signature: str, language: str) -> tuple | None:
+    """PART_COLUMNS of a signature by the grammar of its language; None where there is none or it does not take all of it.
+    Offsets count characters of the signature. A name is given without the type or namespace before it."""
+    grammar = SIGNATURES.get(language)
+    values = parse(grammar, signature) if grammar else None
+    if values is None:
+        return None
+    found = {kind: (begin, end, text) for kind, begin, end, text in values}
+    begin, end, name = found.get("name", (0, 0, ""))
+    short = re.split(r"::(?!.*::)", name)[-1]
+    text = lambda kind: found.get(kind, (0, 0, ""))[2].strip()
+    return True, short, text("parameters"), text("returns"), end - len(short), end
 
 
 # -- what says something ---------------------------------------------------------------------------------------------
@@ -131,55 +158,92 @@ def says_something(sentence: str, name: str) -> bool:
     return len({p.lower() for w in words for p in PARTS.findall(w)} - own) >= 3
 
 
+def described(doc: str, name: str) -> tuple[str, int, int] | None:
+    """The sentences of a documentation text that say something about `name`, and the characters of the text from the
+    first to the last of them; None where none does."""
+    kept = []
+    for _, begin, _, text in parse(DOCUMENTATION[style_of(doc)], doc) or ():
+        if NOTICE.search(text):
+            continue
+        at = 0
+        for s in CUT.split(text):
+            s = s.strip()
+            at = text.index(s, at)
+            if s and says_something(s, name):
+                kept.append((s, begin + at, begin + at + len(s)))
+            at += len(s)
+    return (" ".join(s for s, _, _ in kept), kept[0][1], kept[-1][2]) if kept else None
+
+
 def description(doc: str, name: str) -> str | None:
-    """The sentences of a documentation text that say something about `name`; None where none does."""
-    values = parse(DOCUMENTATION[style_of(doc)], doc)
-    kept, notice = [], False
-    for _, _, _, text in values or ():
-        notice = bool(NOTICE.search(text))
-        if not notice:
-            kept += [s.strip() for s in CUT.split(text) if s.strip() and says_something(s.strip(), name)]
-    return " ".join(kept) or None
+    found = described(doc, name)
+    return found[0] if found else None
 
 
-def function_pairs(symbols: DataFrame) -> DataFrame:
-    """repo_id, symbol_id, file_id, name, language, parameters, returns, signature, start_line, end_line, description.
+def function_pairs(symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """repo_id, symbol_id, file_id, language, parsed, name, parameters, returns, name_begin, name_end, signature, start_line,
+    end_line, description, doc_begin, doc_end.
 
     Of each symbol only the row with the latest indexed_at counts (ties: greatest doc). Rows that are no function or method
     (case and outer blanks apart), have a null or blank signature, a null or blank doc, or a doc that says nothing give
-    nothing. A signature that no grammar takes is kept with empty language, parameters and returns. A null name counts as
-    empty. Docs of any length are read whole. Other columns are ignored; an empty table gives an empty result.
+    nothing. `sources` (repo_id, file_id, path) tells a file's language, whose grammar reads the signature; a signature of an
+    unknown language, or one that the grammar does not take, stays with parsed false, its symbol's name, and null parts. A
+    null name counts as empty. doc_begin and doc_end are characters of doc from the first to the last sentence that is kept,
+    name_begin and name_end those of the name in signature. Docs of any length are read whole. Other columns are ignored; an
+    empty table gives an empty result.
     """
     columns = ("type", "signature", "doc", "name", "file_id", "start_line", "end_line")
     ends_blank = F.lower(F.trim(F.regexp_replace("type", r"\s+", " ")))
     rows = latest_symbols(symbols, "doc", *[c for c in columns if c != "doc"]).filter(ends_blank.isin("function", "method"))
     rows = rows.filter(F.col("signature").rlike(r"\S") & F.col("doc").rlike(r"[\p{L}\p{N}]")).select("repo_id", F.col("id").alias("symbol_id"), *columns[1:])
+    ints = {c: "Int32" for c in ("start_line", "end_line", "name_begin", "name_end")}
+
+    def told(batches):
+        for b in batches:
+            found = [described(d, n or "") for d, n in zip(b["doc"], b["name"])]
+            kept = np.array([f is not None for f in found], bool)
+            b = b[kept].drop(columns="doc")
+            yield b.assign(**dict(zip(("description", "doc_begin", "doc_end"), zip(*[f for f in found if f])) if kept.any() else {c: pd.Series(dtype=object) for c in ("description", "doc_begin", "doc_end")})).astype({c: "Int32" for c in ("start_line", "end_line")})
 
-    def paired(batches):
+    def parts(batches):
         for b in batches:
-            told = [description(d, n or "") for d, n in zip(b["doc"], b["name"])]
-            b = b.assign(description=told)
-            b = b[b["description"].notna()]
-            parts = [signature_parts(s) or {"language": "", "name": n or "", "parameters": "", "returns": ""} for s, n in zip(b["signature"], b["name"])]
-            yield pd.concat([b.drop(columns=["doc", "name"]).reset_index(drop=True), pd.DataFrame(parts, columns=["language", "name", "parameters", "returns"])], axis=1)
+            read = [signature_parts(s, x or "") or (False, n or "", None, None, None, None) for s, n, x in zip(b["signature"], b["name"], b["language"])]
+            own = pd.DataFrame(read, columns=list(PART_COLUMNS), index=b.index)
+            yield pd.concat([b.drop(columns="name"), own], axis=1).astype(ints)
 
-    out = "repo_id string, symbol_id string, file_id string, name string, language string, parameters string, returns string, signature string, start_line int, end_line int, description string"
-    return rows.mapInPandas(lambda it: (x.astype({"start_line": "Int32", "end_line": "Int32"}) for x in paired(it)), out)
+    kept = "repo_id string, symbol_id string, file_id string, signature string, start_line int, end_line int, description string, doc_begin int, doc_end int"
+    pairs = rows.mapInPandas(told, f"{kept}, name string")
+    pairs = pairs.join(file_languages(sources), ["repo_id", "file_id"], "left") if sources is not None else pairs.withColumn("language", F.lit(None).cast("string"))
+    pairs = pairs.withColumn("language", F.coalesce("language", F.lit("")))
+    out = pairs.mapInPandas(parts, f"{kept}, language string, parsed boolean, name string, parameters string, returns string, name_begin int, name_end int")
+    return out.select("repo_id", "symbol_id", "file_id", "language", *PART_COLUMNS, "signature", "start_line", "end_line", "description", "doc_begin", "doc_end")
 
 
-def with_source(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+#: Pairs of one file that are cut out of its text in one row.
+TOGETHER = 1_000
+
+
+def with_source(pairs: DataFrame, sources: DataFrame, symbols: DataFrame) -> DataFrame:
     """The pairs with `source`, the lines start_line to end_line of the file's text (null where it is not at hand or cut
-    off before them). Of several texts of a file the longest counts."""
+    off before them). Of several texts of a file the longest counts. A file's pairs come to its text as ranges, so that the
+    text moves once; a file with more than TOGETHER symbols gets its text once per that many.
+    """
     text = sources.groupBy("repo_id", "file_id").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("content"))
-    lines = F.split(F.regexp_replace(F.regexp_replace("content", "^﻿", ""), r"\r\n?", "\n"), "\n")
-    has = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.size("lines") >= F.col("end_line"))
-    both = pairs.join(text.withColumn("lines", lines).drop("content"), ["repo_id", "file_id"], "left")
-    return both.withColumn("source", F.when(has, F.array_join(F.expr("slice(lines, start_line, end_line - start_line + 1)"), "\n"))).drop("lines")
+    lines = F.split(F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n"), "\n")
+    crowded = symbols.groupBy("repo_id", "file_id").count().filter(F.col("count") > TOGETHER).select("repo_id", "file_id", F.ceil(F.col("count") / TOGETHER).alias("lots"))
+    own = [c for c in pairs.columns if c not in ("repo_id", "file_id")]
+    salted = pairs.join(crowded, ["repo_id", "file_id"], "left").withColumn("lot", F.coalesce(F.pmod(F.xxhash64("symbol_id"), "lots"), F.lit(0)))
+    files = salted.groupBy("repo_id", "file_id", "lot").agg(F.collect_list(F.struct(*own)).alias("pairs"))
+    both = files.join(text.withColumn("lines", lines).drop("content"), ["repo_id", "file_id"], "left")
+    has = lambda p: (p["start_line"] >= 1) & (p["end_line"] >= p["start_line"]) & (F.size("lines") >= p["end_line"])
+    cut = lambda p: F.when(has(p), F.array_join(F.slice("lines", p["start_line"], p["end_line"] - p["start_line"] + 1), "\n"))
+    return both.select("repo_id", "file_id", F.inline(F.transform("pairs", lambda p: F.struct(*[p[c].alias(c) for c in own], cut(p).alias("source"))))).select(*pairs.columns, "source")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return function_pairs(table(spark, sf_dir, "symbols")).select("repo_id", "symbol_id")
+    return function_pairs(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "raw_sources")).select("repo_id", "symbol_id")
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_source(function_pairs(table(spark, sf_dir, "symbols")), table(spark, sf_dir, "raw_sources"))
+    symbols, sources = table(spark, sf_dir, "symbols"), table(spark, sf_dir, "raw_sources")
+    return with_source(function_pairs(symbols, sources), sources, symbols)

@@ -14,20 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm.natural import prose_of
+from graphlens.llm.prose import language_of
 from graphlens.operators.snapshots import plain_path
 from graphlens.tables import table
 
-#: Names of languages in the deliveries and endings of paths, by language.
-LANGUAGE_OF = {
-    "python": "python py python3 pyi pyw",
-    "javascript": "javascript js jsx mjs cjs typescript ts tsx ecmascript node",
-    "java": "java",
-    "go": "go golang",
-    "rust": "rust rs",
-    "cpp": "cpp c++ cc cxx hpp hh hxx",
-    "c": "c h",
-}
-ALIAS = {alias: language for language, aliases in LANGUAGE_OF.items() for alias in aliases.split()}
 #: Layout limits by language. Minified: the longest line and the mean line at least, white space and alphanumeric share at
 #: most. Data: share of lines that hold nothing but literals, and of characters in numeric literals or encoded runs, at
 #: least. Machine-made: the longest and the mean line at most (tools write many short lines of one make; people's
@@ -152,12 +142,6 @@ def layout_of(language: Column, length: Column, low: Column) -> Column:
     )
 
 
-def language_of(name: Column, path: Column) -> Column:
-    """A language by the name that deliveries give, else by the path's ending."""
-    known = F.create_map(*[F.lit(x) for pair in ALIAS.items() for x in pair])
-    return F.coalesce(known[F.lower(F.trim(name))], known[F.regexp_extract(F.lower(path), r"\.([a-z0-9+]+)$", 1)], F.lit(""))
-
-
 def file_origins(files: DataFrame, sources: DataFrame) -> DataFrame:
     """repo_id, path, language, layout, marker, place, kind of every file.
 

@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ISO 639-1 code, then other codes and names of the language.
@@ -32,7 +32,11 @@ FENCE = re.compile(r"^[ \t>|*-]*(```|~~~).*?(?:^[ \t>|*-]*\1[^\n]*$|\Z)|^@start\
 LEADER = re.compile(r"^[ \t]*(?:(?:[>|*\-+•#/]+|\d{1,3}[.)])[ \t]+)*", re.M)
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
 CUT = regex.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|(?<=[。！？][」』”»]?)(?![」』”»])\s*")
-SPAN = re.compile(r"`[^`\n]*`|(?<![\w])'[\w./:]+'|[\w-]*[._/:]\w[\w./:-]*|\b\w*[a-z]\w*[A-Z]\w*|\b\w*\d\w*|<[^<>\n]{1,40}>|&\w+;")
+#: Code inside a sentence; each alternative reads a run of word characters once.
+SPAN = re.compile(
+    r"`[^`\n]*`|(?<![\w])'[\w./:]+'|(?<![\w-])(?:[\w-]*+[./:]\w|(?:[^\W_]|-)*+_\w)[\w./:-]*|(?<![\w-])[./:]\w[\w./:-]*"
+    r"|\b[^\Wa-z]*+[a-z][^\WA-Z]*+[A-Z]\w*|\b[^\W\d]*+\d\w*|<[^<>\n]{1,40}>|&\w+;"
+)
 WORD = re.compile(r"[^\W\d_]+")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾝ]")
 CODE_MARK = re.compile(r"[;=(){}\[\]<>]")
@@ -41,6 +45,30 @@ END = re.compile(r"[.!?…。！？][\"'»”)\]」』*_]*$")
 LEAST_WORDS, LEAST_CJK = 5, 10
 
 
+#: Names of programming languages in the deliveries and endings of paths, by language.
+LANGUAGE_OF = {
+    "python": "python py python3 pyi pyw",
+    "javascript": "javascript js jsx mjs cjs typescript ts tsx ecmascript node",
+    "java": "java",
+    "go": "go golang",
+    "rust": "rust rs",
+    "cpp": "cpp c++ cc cxx hpp hh hxx",
+    "c": "c h",
+}
+ALIAS = {alias: language for language, aliases in LANGUAGE_OF.items() for alias in aliases.split()}
+
+
+def language_of(name: Column, path: Column) -> Column:
+    """A programming language by the name that deliveries give, else by the path's ending; empty where neither tells."""
+    known = F.create_map(*[F.lit(x) for pair in ALIAS.items() for x in pair])
+    return F.coalesce(known[F.lower(F.trim(name))], known[F.regexp_extract(F.lower(path), r"\.([a-z0-9+]+)$", 1)], F.lit(""))
+
+
+def file_languages(sources: DataFrame) -> DataFrame:
+    """repo_id, file_id, language of each file by the ending of its path (ties: the greatest)."""
+    return sources.groupBy("repo_id", "file_id").agg(F.max(language_of(F.lit(None).cast("string"), F.trim("path"))).alias("language"))
+
+
 def lang_codes(label: str | None) -> set[str]:
     """Codes of the languages that a label names in any notation; placeholders and blanks name none."""
     parts = re.split(r"[,;/+&|]| and ", (label or "").strip().lower())

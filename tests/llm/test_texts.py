@@ -84,8 +84,41 @@ def test_smoothing_follows_neighbours():
 # -- natural language in code --------------------------------------------------------------------------------------------
 
 
-def test_marked_runs():
-    assert [r.strip() for _, r in natural.marked_runs(['x = call(1)  # a comment of some words\ns = "a string \\"of\\" words"', "", "http://plain words stay here"])][:3] == ["x = call(1)", "# a comment of some words", '"a string \\"of\\" words']
+def _runs(text, language=""):
+    return [r.strip(" \"'`/*") for _, r in natural.marked_runs([text], np.array([natural.FAMILY[language]]))]
+
+
+@pytest.mark.parametrize(
+    "language,text,want",
+    [
+        ("python", 'x = call(1)  # a comment of some words\ns = "a string \\"of\\" words"', ["x = call(1)", "# a comment of some words", '"a string \\"of\\" words"']),
+        ("python", 'def f():\n    """One line of text.\n\n    Another \'line\' of text."""\n    return g(a, b)', ['"""One line of text.', "Another 'line' of text.\"\"\"", "return g(a, b)"]),
+        ("java", "int a = b(); /* one comment of words\n that goes on */ int c = d();", ["int a = b();", "/* one comment of words", "that goes on */", "int c = d();"]),
+        ("javascript", "throw new Error('the index could not be read from disk');", ["'the index could not be read from disk'"]), ("javascript", "log(`the index could not\nbe read from disk`);", ["`the index could not", "be read from disk`"]),
+        ("rust", "fn f<'a>(x: &'a str) { log(\"words of a string\") }", ['"words of a string"']), ("c", "don't stop reading here, it's all plain", ["don't stop reading here, it's all plain"]),
+        ("", 'Returns the "default" value of the key that is given.', ['Returns the "default" value of the key that is given.']), ("", "http://plain words stay here", ["http://plain words stay here"]),
+        ("", '/**\n * >>> f(a, b)  # The loader skips large files.\n *     assert f() , "It skips \'small\' files, too."\n */', ["# The loader skips large files.", "\"It skips 'small' files, too.\""]),
+    ],
+)
+def test_marked_runs(language, text, want):
+    assert _runs(text, language) == [x.strip(" \"'`/*") for x in want]
+
+
+def test_mask_of_long_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b ", '"', "'", "\n", "/", "*", "#", "\\", "`", "é"]) for _ in range(rng.choice([0, 3, 50, 700]))) for _ in range(40)]
+    family = np.array([i % len(natural.FAMILY) for i in range(len(texts))])
+    whole = natural.marked_runs(texts, family)
+    mask = natural.part_mask(*natural._bytes(natural.pa.array(texts)), family)
+    monkeypatch.setattr(natural, "CHUNK", 16)
+    monkeypatch.setattr(natural, "TOGETHER", 1 << 10)
+    assert natural.marked_runs(texts, family) == whole and (natural.part_mask(*natural._bytes(natural.pa.array(texts)), family) == mask).all()
+
+
+def test_one_text_of_20_mb():
+    line = 'call(a, b);  // The loader skips large files because nobody reads them.\n'
+    which, words, sizes = natural.prose_of(["Reads every file of the folder once.", line * (20_000_000 // len(line)), "x" * 2_000_000, "- " * 500_000 + "a"])
+    assert which.count(1) == 20_000_000 // len(line) and which.count(0) == 1 and len(set(words)) == 2
 
 
 def test_json_values():
@@ -155,11 +188,33 @@ def test_tags_about_the_function(doc, want):
     assert docpairs.description(doc, "sort_span") == want
 
 
-def test_signatures():
-    p = docpairs.signature_parts
-    assert p("func (s *T) Run(a string, b int) error {")["name"] == "Run" and p("func (s *T) Run(a string) error {")["returns"] == "error"
-    assert p("pub fn f(x: &str) -> Vec<u8> {")["returns"] == "Vec<u8>" and p("std::string A::go(int x) {")["name"] == "go"
-    assert p("export const f = (a, b) => {")["language"] == "javascript" and p("f(a, b)")["parameters"] == "a, b" and p("???") is None
+@pytest.mark.parametrize(
+    "language,signature,name,parameters,returns",
+    [
+        ("go", "func (s *T) Run(a string, b func(int) error) (int, error) {", "Run", "a string, b func(int) error", "(int, error)"), ("go", "func Map[K any](x []K) []K {", "Map", "x []K", "[]K"), ("go", "func f()", "f", "", ""),
+        ("rust", "pub fn f(x: &str) -> Vec<u8> {", "f", "x: &str", "Vec<u8>"), ("rust", "pub(crate) async unsafe fn g<'a, T: Into<U>>(&'a self, t: T) -> Result<(), E> where T: Copy {", "g", "&'a self, t: T", "Result<(), E>"),
+        ("javascript", "export const f = (a, b = g(1)) => {", "f", "a, b = g(1)", ""), ("javascript", "async load(id) {", "load", "id", ""), ("javascript", "static get size(): number {", "size", "", "number"), ("javascript", "constructor(private readonly a: A) {", "constructor", "private readonly a: A", ""),
+        ("javascript", "export default async function* walk<T>(x: T): AsyncIterable<T> {", "walk", "x: T", "AsyncIterable<T>"), ("javascript", "const one = x => x", "one", "x", ""), ("javascript", "get(key) {", "get", "key", ""), ("javascript", "public async save(x: Map<string, number>): Promise<void> {", "save", "x: Map<string, number>", "Promise<void>"),
+        ("python", "async def f(a, b=(1, 2), *c) -> dict[str, int]:", "f", "a, b=(1, 2), *c", "dict[str, int]"), ("python", "f(a, b)", "f", "a, b", ""), ("python", "def g(x=')'):", "g", "x=')'", ""),
+        ("java", "@Override public static <T extends A<T>> List<Map<String, T>> of(final T x, int... y) throws E, F {", "of", "final T x, int... y", "List<Map<String, T>>"), ("java", "private Cache(int size) {", "Cache", "int size", ""), ("java", "int[] sizes();", "sizes", "", "int[]"),
+        ("cpp", "std::string A::go(int x) const noexcept {", "go", "int x", "std::string"), ("cpp", "template <typename T> inline const std::vector<T>& ns::Box<T>::all() const", "all", "", "const std::vector<T>&"), ("cpp", "Cache::Cache(int n) : n_(n) {", "Cache", "int n", ""), ("cpp", "~Cache() = default;", "~Cache", "", ""), ("cpp", "bool operator==(const A& b) const {", "operator==", "const A& b", "bool"), ("cpp", "auto f(int a) -> int {", "f", "int a", "int"),
+        ("c", "static const char *name_of(struct item *x, int (*f)(int)) {", "name_of", "struct item *x, int (*f)(int)", "const char"), ("c", "unsigned long count(void);", "count", "void", "unsigned long"),
+    ],
+)
+def test_signatures(language, signature, name, parameters, returns):
+    parsed, n, p, r, begin, end = docpairs.signature_parts(signature, language)
+    assert (parsed, n, p) == (True, name, parameters) and r.rstrip(" *") == returns and signature[begin:end] == name
+
+
+def test_signatures_that_no_grammar_takes():
+    assert docpairs.signature_parts("???", "java") is None and docpairs.signature_parts("f(a)", "") is None and docpairs.signature_parts("class A {", "java") is None
+    assert docpairs.signature_parts("f(" * 50_000, "python") is None
+
+
+def test_offsets_of_descriptions():
+    doc = "/**\n * sort span\n * Reads every source file once. See above. Keeps the newest row of each key.\n */"
+    text, begin, end = docpairs.described(doc, "sort_span")
+    assert text == "Reads every source file once. Keeps the newest row of each key." and doc[begin:end].startswith("Reads every") and doc[begin:end].endswith("of each key.")
 
 
 def test_function_pairs(spark, rows):
@@ -175,11 +230,23 @@ def test_function_pairs(spark, rows):
     df = spark.createDataFrame(data, s)
     pairs = docpairs.function_pairs(df)
     assert rows(pairs, "symbol_id") == [("1",), ("5",)]
-    src = spark.createDataFrame([("r", "f", "﻿one\r\ntwo\r\nthree")], "repo_id string, file_id string, content string")
-    assert rows(docpairs.with_source(pairs, src), "symbol_id", "source") == [("1", "one\ntwo"), ("5", None)]
+    src = spark.createDataFrame([("r", "f", "a/b.py", "\ufeffone\r\ntwo\r\nthree")], "repo_id string, file_id string, path string, content string")
+    assert rows(docpairs.with_source(pairs, src, df), "symbol_id", "source") == [("1", "one\ntwo"), ("5", None)]
+    assert rows(docpairs.function_pairs(df, src), "symbol_id", "language", "parsed", "name", "parameters") == [("1", "python", True, "a", "x"), ("5", "python", True, "e", "")]
+    assert rows(pairs, "symbol_id", "language", "parsed", "name", "parameters") == [("1", "", False, "a", None), ("5", "", False, "", None)]
+    assert docpairs.with_source(pairs.limit(0), src, df).count() == 0 == docpairs.function_pairs(df.limit(0), src.limit(0)).count()
     assert docpairs.function_pairs(df.limit(0)).count() == 0
 
 
+def test_a_file_with_very_many_functions(spark, monkeypatch):
+    monkeypatch.setattr(docpairs, "TOGETHER", 10)
+    s = "repo_id string, id string, file_id string, name string, type string, signature string, doc string, start_line int, end_line int, indexed_at timestamp"
+    df = spark.createDataFrame([("r", str(i), "f", "a", "function", "a(x)", "Reads every source file once and again.", i + 1, i + 1, None) for i in range(200)], s)
+    src = spark.createDataFrame([("r", "f", "f.py", "\n".join(map(str, range(150))))], "repo_id string, file_id string, path string, content string")
+    got = {r["symbol_id"]: r["source"] for r in docpairs.with_source(docpairs.function_pairs(df, src), src, df).collect()}
+    assert got == {str(i): str(i) if i < 150 else None for i in range(200)}
+
+
 def test_function_pairs_in_any_script(spark, rows):
     s = "repo_id string, id string, file_id string, name string, type string, signature string, doc string, start_line int, end_line int, indexed_at timestamp"
     docs = ["缓存层只要分支发生了移动，就会等待锁被释放。", "/**\n * Сканер читает каждый исходный файл только один раз.\n */", "キャッシュ層は分岐が動くとロックの解放を待つ。", "同上。", "// -----", "Позже."]
@@ -217,7 +284,7 @@ def test_layout_by_language(spark):
     s = spark.createDataFrame([("r", p, t) for p, t, _ in texts], "repo_id string, path string, content string")
     got = {r["path"]: r["layout"] for r in handwritten.file_origins(f, s).collect()}
     assert got == {p: k for p, _, k in texts} | {"i.py": None}
-    assert set(handwritten.LIMITS) == set(handwritten.LANGUAGE_OF) | {""}
+    assert set(handwritten.LIMITS) == set(prose.LANGUAGE_OF) | {""}
 
 
 def test_markers_after_a_long_licence():
