@@ -81,6 +81,63 @@ def test_split_lists_find_the_same(spark, monkeypatch):
     assert len(found(spark, rows)) >= 0.97 * len(brute(rows))
 
 
+def test_same_direction_of_another_length(spark):
+    from datetime import datetime
+
+    rng = np.random.default_rng(8)
+    hot = rng.integers(-8, 9, 64).astype(float)
+    rows = [(1000 + i, "q", f"h{i}", "symbol", hot.tolist(), datetime(2025, 1, 1), "") for i in range(150)]
+    rows += [(500 + i, "q", f"s{i}", "symbol", (hot * 2.0**i).tolist(), datetime(2025, 1, 1), "") for i in range(1, 6)] + make(50)
+    rows = [r[:2] + (f"{n}",) + r[3:] for n, r in enumerate(rows)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_large_lists_get_lists_of_their_own(spark, monkeypatch):
+    rows = make(500, seed=6, groups=40)
+    rows += [(10_000 + i, "q", f"r{i}", "rare", r[4], r[5], "") for i, r in enumerate(rows[:60])]
+    want = brute(rows)
+    monkeypatch.setattr(S, "LIST_ROWS", 64)
+    monkeypatch.setattr(S, "OWN_SAMPLE", 48)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(S, "SAMPLE_ROWS", 200)
+    seen = []
+    monkeypatch.setattr(S, "refined", lambda *a, f=S.refined: seen.append(1) or f(*a))
+    got = found(spark, rows)
+    assert seen and got <= want | got and len(got & want) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("least,recall", [(0.9, 0.99), (0.0, 0.99)])
+def test_recall_on_given_vectors(spark, least, recall):
+    df = spark.read.parquet("/root/testdata/sf0.01/object_embeddings.parquet")
+    got = {(r["id"], r["other_id"]) for r in S.most_similar(df, least=least).collect()}
+    rows = df.toPandas().sort_values(["created_at", "id"]).groupby(["repo_id", "object_id"]).tail(1)
+    rows["embedding"] = [None if v is None else np.array(v, float) for v in rows["embedding"]]
+    rows = rows[[v is not None and len(v) == 64 and bool(np.isfinite(v).all() and v.any()) for v in rows["embedding"]]]
+    want, kinds = set(), rows["object_type"].str.strip().str.lower()
+    for kind in set(kinds):
+        own = rows[kinds == kind]
+        x, ids = np.stack([v.astype(float) for v in own["embedding"]]), own["id"].to_numpy()
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        s = x @ x.T
+        np.fill_diagonal(s, -2)
+        for i in range(len(ids)):
+            near = np.lexsort((ids, -s[i]))[:10]
+            want |= {(ids[i], ids[j]) for j in near if s[i, j] >= least}
+    assert len(want & got) >= recall * len(want) and len(got) <= len(want) + 0.01 * len(want)
+
+
+def test_bound_of_the_best_so_far(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(3000)
+    a, b, _ = S.search_block(ids, x, S.rotation(64), 5, -1.0)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(ids[i], ids[j]) for i in range(3000) for j in np.argsort(-s[i])[:5]}
+    assert len(a) == 15_000 and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(want)
+
+
 @pytest.mark.parametrize("dim", [5, 64, 100])
 def test_upper_bound_holds(dim):
     rng = np.random.default_rng(dim)
