@@ -49,6 +49,7 @@ RELEASE = re.compile(
     r"\b(?:part of|taken from|copied from|imported from|vendored from|based on|distribution|upstream|release|licen[cs]e)\b.*\bv?\d+\.\d+(?:\.\d+)?\b|\bv?\d+\.\d+(?:\.\d+)?\b.*\b(?:upstream|release|distribution|licen[cs]ed?|repository|copyright)\b|^\W*[\w.@/-]+ v?\d+\.\d+\.\d+\b",
     re.I,
 )
+VERSION = re.compile(r"\d\.\d")
 NOT_RELEASE = re.compile(r"\b(?:python|java|go|node|c\+\+|requires|since|version of this)\b", re.I)
 COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|pragma|\[)|/\*|\*|\"\"\"|<!--|--)")
 NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
@@ -96,8 +97,8 @@ def statistics(text: str | None) -> tuple:
     sizes = [len(x) for x in lines]
     full = [x for x in lines if x.strip()]
     said = comment_lines(full)
-    release = any(RELEASE.search(x) and not NOT_RELEASE.search(x) for x in said)
-    tool = any(TOOL.search(x) for x in said)
+    release = any(RELEASE.search(x) and not NOT_RELEASE.search(x) for x in said if VERSION.search(x))
+    tool = bool(TOOL.search("\n".join(said)))
     numeric = sum(m.end() - m.start() for m in NUMBER.finditer(t)) / max(1, n - sum(data.count(bytes([b])) for b in _BLANKS))
     encoded = sum(m.end() - m.start() for m in ENCODED.finditer(t)) / n
     literal = sum(bool(LITERAL_LINE.match(x)) for x in full) / max(1, len(full)) if numeric > 0.2 or encoded > 0.2 else 0.0
