@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from graphlens.llm.docpairs import p4_found, p4_pairs
 from graphlens.llm.handwritten import p5_found
 from graphlens.llm.langlabels import p8_found
-from graphlens.llm.leaks import p7_found
+from graphlens.llm.leaks import p7_found, p7_paraphrases
 from graphlens.llm.natural import p3_found
 from graphlens.llm.similar import p1_found
 from graphlens.llm.tokens import p6_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_pairs, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_pairs, p5_found, p6_ids, p7_found, p7_paraphrases, p8_found)}
 
 
 #: Exact pairs; the operator's index finds all of them at this size.

@@ -10,6 +10,7 @@ with after one product. Candidates are then checked word by word; runs of words
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import numpy as np
@@ -28,14 +29,21 @@ LEAST_COSINE = 0.2
 #: Words in a row that make a leak (Chinese items, where each character is a word: LEAK_ZH), and for a paraphrase the share
 #: of an item's passage that is a common subsequence.
 LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
-#: Evaluation items of one block: what is broadcast grows with a block, not with the evaluation set.
-BLOCK_ITEMS = 4_000
-
-TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>")
-LEADER = regex.compile(r"(?m)^[ \t]*(?:(?:[>|*+•#/%;:=~\-]+|\d{1,3}[.)])(?:[ \t]+|$))*")
+#: Words and word pairs of one block of evaluation items, about: what is broadcast and what comes back to the driver
+#: (a row of RANK + EXTRA floats each) grows with a block, not with the evaluation set.
+BLOCK_TERMS = 60_000
+#: Documents whose passages the latent space is fitted on, about; frequencies and the search cover all.
+FIT_DOCS = 20_000
+
+TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+LEADER = re.compile(r"(?m)^[ \t]*(?:(?:[>|*+•#/%;:=~\-]+|\d{1,3}[.)])(?:[ \t]+|$))+")
 LINE_END_HYPHEN = regex.compile(r"(?<=\p{L})-[ \t]*\n[ \t]*(?=\p{L})")
+INVISIBLE = regex.compile(r"\p{Cf}+")
 _EACH = r"\p{Han}\p{Hiragana}\p{Katakana}"
-WORD = regex.compile(rf"[{_EACH}]|(?:(?![{_EACH}])[\p{{L}}\p{{M}}\p{{N}}])+")
+#: Words of any text; of a text without such characters and without marks; of ASCII in lower case.
+WORD = regex.compile(rf"[{_EACH}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{_EACH}]]+", regex.V1)
+PLAIN, ASCII = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
+SPECIAL = regex.compile(rf"[{_EACH}\p{{M}}]")
 
 
 def words(text: str | None) -> list[str]:
@@ -44,9 +52,18 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     t = html.unescape(TAG.sub(" ", text)) if "<" in text or "&" in text else text
-    t = regex.sub(r"\p{Cf}+", "", unicodedata.normalize("NFKC", t)).replace("\r\n", "\n").replace("\r", "\n")
-    t = LINE_END_HYPHEN.sub("", LEADER.sub("", t))
-    return WORD.findall(unicodedata.normalize("NFKC", t.casefold()))
+    ascii_ = t.isascii()
+    if not ascii_:
+        t = INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    t = LEADER.sub("", t)
+    if "-" in t and "\n" in t:
+        t = LINE_END_HYPHEN.sub("", t)
+    if ascii_:
+        return ASCII.findall(t.lower())
+    t = unicodedata.normalize("NFKC", t.casefold())
+    return WORD.findall(t) if SPECIAL.search(t) else PLAIN.findall(t)
 
 
 class Items:
@@ -151,12 +168,14 @@ class Items:
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in a row that both hold."""
-    best, row = 0, np.zeros(len(b) + 1, np.int64)
-    for w in a[:]:
-        row[1:] = np.where(b == w, row[:-1] + 1, 0) if w else 0
-        best = max(best, int(row.max()))
-    return best
+    """Words in a row that both hold (0: no word), from where equal words stand on one diagonal without a gap."""
+    at = np.flatnonzero(np.isin(a, b[b > 0]))
+    i, j = np.nonzero(a[at, None] == b[None, :])
+    i = at[i]
+    order = np.lexsort((i, i - j))
+    i, diagonal = i[order], (i - j)[order]
+    new = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)][: len(i)])
+    return int(np.diff(np.r_[new, len(i)]).max(initial=0))
 
 
 def subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,9 +224,10 @@ def _docs(batch: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32).astype(np.int64) for x in batch["words"]]
 
 
-def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
-    """Sets the items' term weights, and gives the leading right singular vectors (terms x RANK) of the TF-IDF matrix
-    of all passages of documents and items, by a randomised range finder with one power step."""
+def latent_basis(docs: DataFrame, items: Items, share: float) -> np.ndarray:
+    """Sets the items' term weights from all passages, and gives the leading right singular vectors (terms x RANK) of the
+    TF-IDF matrix of the passages of items and of a share of the documents, by a randomised range finder with one power
+    step. The documents are chosen by a hash of their words."""
     spark = docs.sparkSession
     sent = shipped(spark, items)
     width = min(RANK + EXTRA, max(items.terms, 1))
@@ -230,6 +250,8 @@ def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
     n = float(df["df"].to_numpy()[at == -1].sum())
     items.weight = np.log((n + 2) / (count + 1)).astype(np.float32)
     sent = shipped(spark, items)
+    some = docs.filter(F.pmod(F.xxhash64("words"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
+    some = some.coalesce(max(1, spark.sparkContext.defaultParallelism))
 
     def products(own: Items, told: list[np.ndarray], m: np.ndarray):
         """Rows of A'A m that a batch adds to."""
@@ -268,7 +290,7 @@ def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
         out = np.zeros((items.terms, m.shape[1]), np.float32)
         term, rows = products(items, items.words, m)
         out[term] += rows
-        term, rows = _summed(docs.mapInPandas(partial, "term long, row binary"), m.shape[1])
+        term, rows = _summed(some.mapInPandas(partial, "term long, row binary"), m.shape[1])
         out[term] += rows
         return out
 
@@ -280,8 +302,8 @@ def latent_basis(docs: DataFrame, items: Items) -> np.ndarray:
     return (q @ vectors[:, keep]).astype(np.float32)
 
 
-def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
-    basis = latent_basis(docs, items)
+def leaked_block(docs: DataFrame, items: Items, share: float) -> DataFrame:
+    basis = latent_basis(docs, items, share)
     doc, w, z, _ = items.latent(items.words, basis)
     length = np.linalg.norm(z, axis=1)
     unit = np.where(length[:, None] > 1e-6, z / np.maximum(length, 1e-6)[:, None], 0).astype(np.float32)
@@ -306,7 +328,7 @@ def leaked_block(docs: DataFrame, items: Items) -> DataFrame:
             exact = held[0] * count + held[1]
             best = []
             for d, i in zip(*held):  # leaks count at any cosine
-                mine, its = np.flatnonzero(doc == d), np.flatnonzero(of == i)
+                mine, its = np.arange(*np.searchsorted(doc, [d, d + 1])), np.arange(*np.searchsorted(of, [i, i + 1]))
                 cos = z[mine] @ unit[its].T / full[mine, None]
                 r, c = np.unravel_index(cos.argmax(), cos.shape)
                 best.append((mine[r], its[c], cos[r, c]))
@@ -344,8 +366,11 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     PARAPHRASE of the item's; `common` is the largest share of such. Null and empty texts, and items shorter than a leak, have no verbatim row; repeated items are reported one by one; rows with one
     doc_id count as one. An empty table gives an empty result. Texts are read whole. Other columns are ignored.
     """
-    blocks = max(1, -(-eval_items.count() // BLOCK_ITEMS))
-    numbered = eval_items.select("item_id", "lang", "text").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    # an item of n characters has no more than n words and pairs of words, in most languages n / 3
+    size = eval_items.agg(F.sum(F.length("text") / 3).alias("terms")).first()["terms"] or 0
+    blocks = max(1, int(-(-size // BLOCK_TERMS)))
+    share = min(1.0, FIT_DOCS / max(1, documents.count()))
+    numbered = eval_items.select("item_id", "lang", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
     for k in range(blocks):
         own = numbered.filter(F.col("block") == k).orderBy("item_id", "text").toPandas()
@@ -360,7 +385,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "words": [mine.numbers(t).astype(np.int32).tobytes() for t in b["text"]]})
 
         docs = cut(documents.select("doc_id", "text").filter("text is not null").mapInPandas(numbers, "doc_id long, words binary"), "leak-words")
-        block = leaked_block(docs, items)
+        block = leaked_block(docs, items, share)
         found = block if found is None else found.unionByName(block)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, run int, common double, kind string")
@@ -371,3 +396,9 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry an item's passage in other words (no run of words long enough for p7_found)."""
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.filter("kind = 'paraphrase'").select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("common", 4).alias("common"))

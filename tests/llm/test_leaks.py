@@ -51,9 +51,9 @@ def test_edges(spark):
     assert leaks.leaked_items(dd.limit(0), ii).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2])
+@pytest.mark.parametrize("block", [20, 60])
 def test_blocks_of_items(spark, monkeypatch, block):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(leaks, "BLOCK_TERMS", block)
     dd = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     ii = spark.createDataFrame([(i, "en", ITEM) for i in range(3)], "item_id long, lang string, text string")
     assert leaks.leaked_items(dd, ii).count() == 3
