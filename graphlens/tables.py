@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,9 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session whose master is local (tests) may name none, and
+    gets a temporary one; on a cluster that would be another folder on each machine, so that it raises there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-graphlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
