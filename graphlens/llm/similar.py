@@ -302,7 +302,8 @@ def most_similar(df: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
 
     rows = latest_objects(df)
     same = [F.coalesce("kind", F.lit("")).alias("kind"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2")]
-    copies = plain.select(*same).groupBy("kind", "h1", "h2").count().filter(F.col("count") > k + 1).drop("count")
+    full = F.exists("embedding", lambda v: v != 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v))
+    copies = plain.filter(full).select(*same).groupBy("kind", "h1", "h2").count().filter(F.col("count") > k + 1).drop("count")
     if copies.isEmpty():
         return search(rows)
     keyed = cut(rows.select("id", "embedding", *same), "vector-rows")
