@@ -29,9 +29,9 @@ LEAST_COSINE = 0.2
 #: Words in a row that make a leak (Chinese items, where each character is a word: LEAK_ZH), and for a paraphrase the share
 #: of an item's passage that is a common subsequence.
 LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
-#: Words and word pairs of one block of evaluation items, about: what is broadcast and what comes back to the driver
-#: (a row of RANK + EXTRA floats each) grows with a block, not with the evaluation set.
-BLOCK_TERMS = 60_000
+#: Words and word pairs of one block of evaluation items, counted with repetition: what is broadcast and what comes back to
+#: the driver (a row of RANK + EXTRA floats for each that differs) is bounded by a block, not by the evaluation set.
+BLOCK_TERMS = 100_000
 #: Documents whose passages the latent space is fitted on, about; frequencies and the search cover all.
 FIT_DOCS = 20_000
 
@@ -190,14 +190,30 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[:, -1]
 
 
+def signatures(w: np.ndarray) -> np.ndarray:
+    """128 bits for the words (above 0) of each row, as two numbers."""
+    x = np.maximum(w, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.uint64(1) << (x >> np.uint64(58))
+    half = (x >> np.uint64(57) & np.uint64(1)).astype(bool)
+    zero = np.uint64(0)
+    return np.stack([np.bitwise_or.reduce(np.where((w > 0) & (half == k), bits, zero), axis=1) for k in (False, True)], 1)
+
+
+def possible(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether rows with the signatures a may cover PARAPHRASE of rows with the signatures b and so many words: each bit that
+    only b has is a word of b that a has not."""
+    missing = np.bitwise_count(b[:, 0] & ~a[:, 0]) + np.bitwise_count(b[:, 1] & ~a[:, 1])
+    return (size >= LEAK) & (size - missing >= PARAPHRASE * size)
+
+
 def paraphrased(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of b (items' passages; -1 after the end) are covered to PARAPHRASE by a common subsequence with a, and the share.
     A subsequence cannot be longer than the words of either row that both hold; only what that leaves is compared in order."""
     at, share = [np.zeros(0, np.int64)], [np.zeros(0)]
     size = (b >= 0).sum(1)
-    possible = np.flatnonzero((size >= LEAK) & ((a > 0).sum(1) >= PARAPHRASE * size))
-    for lo in range(0, len(possible), 8192):
-        own = possible[lo : lo + 8192]
+    open_ = np.flatnonzero((size >= LEAK) & ((a > 0).sum(1) >= PARAPHRASE * size))
+    for lo in range(0, len(open_), 8192):
+        own = open_[lo : lo + 8192]
         same = (a[own][:, :, None] == b[own][:, None, :]) & (a[own] > 0)[:, :, None]
         own = own[np.minimum(same.any(1).sum(1), same.any(2).sum(1)) >= PARAPHRASE * size[own]]
         part = subsequence(np.maximum(a[own], 0), np.maximum(b[own], 0)) / size[own]
@@ -236,8 +252,8 @@ def latent_basis(docs: DataFrame, items: Items, share: float) -> np.ndarray:
         own, total, n = sent(), None, 0
         for b in batches:
             doc, passage, term, _, _ = own.passages(_docs(b))
-            key = np.unique(passage * own.terms + term)
-            add = np.bincount(key % own.terms, minlength=own.terms)
+            key = np.sort(passage * own.terms + term)
+            add = np.bincount(key[np.r_[True, key[1:] != key[:-1]][: len(key)]] % own.terms, minlength=own.terms)
             total, n = add if total is None else total + add, n + len(doc)
         if total is not None:
             at = np.flatnonzero(total)
@@ -307,23 +323,26 @@ def leaked_block(docs: DataFrame, items: Items, share: float) -> DataFrame:
     doc, w, z, _ = items.latent(items.words, basis)
     length = np.linalg.norm(z, axis=1)
     unit = np.where(length[:, None] > 1e-6, z / np.maximum(length, 1e-6)[:, None], 0).astype(np.float32)
-    sent = shipped(docs.sparkSession, (items, basis, doc, w, unit))
+    sent = shipped(docs.sparkSession, (items, basis, doc, w, unit, signatures(w), (w >= 0).sum(1)))
 
     def search(batches):
-        own, v, of, item_words, unit = sent()
+        own, v, of, item_words, unit, item_bits, item_size = sent()
         count = len(own.ids)
         for b in batches:
             told = _docs(b)
             doc, w, z, full = own.latent(told, v)
             alive = np.flatnonzero(np.linalg.norm(z, axis=1) >= LEAST_COSINE * full)
+            bits = signatures(w)
             parts = []
-            for lo in range(0, len(alive), 1024):
-                own_p = alive[lo : lo + 1024]
-                cos = z[own_p] @ unit.T / full[own_p, None]
-                r, c = np.nonzero(cos >= LEAST_COSINE)
+            for lo in range(0, len(alive), 512):
+                own_p = alive[lo : lo + 512]
+                dot = z[own_p] @ unit.T
+                r, c = np.divmod(np.flatnonzero(dot >= LEAST_COSINE * full[own_p, None]), len(unit))
+                near = possible(bits[own_p[r]], item_bits[c], item_size[c])
+                r, c = r[near], c[near]
                 k, share = paraphrased(w[own_p[r]], item_words[c])
                 r, c = r[k], c[k]
-                parts.append((doc[own_p[r]] * count + of[c], cos[r, c], share))
+                parts.append((doc[own_p[r]] * count + of[c], dot[r, c] / full[own_p[r]], share))
             held = own.verbatim(told)
             exact = held[0] * count + held[1]
             best = []
@@ -366,9 +385,13 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     PARAPHRASE of the item's; `common` is the largest share of such. Null and empty texts, and items shorter than a leak, have no verbatim row; repeated items are reported one by one; rows with one
     doc_id count as one. An empty table gives an empty result. Texts are read whole. Other columns are ignored.
     """
-    # an item of n characters has no more than n words and pairs of words, in most languages n / 3
-    size = eval_items.agg(F.sum(F.length("text") / 3).alias("terms")).first()["terms"] or 0
-    blocks = max(1, int(-(-size // BLOCK_TERMS)))
+
+    def counted(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [2 * len(words(t)) for t in b["text"]]})  # words, and pairs of them
+
+    size = eval_items.select("text").mapInPandas(counted, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // BLOCK_TERMS))
     share = min(1.0, FIT_DOCS / max(1, documents.count()))
     numbered = eval_items.select("item_id", "lang", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None

@@ -18,6 +18,25 @@ def test_longest_common():
     assert leaks.subsequence(np.array([[1, 2, 0, 3, 4, 0]]), np.array([[9, 1, 2, 5, 3, 4]])).tolist() == [4]
 
 
+def test_signatures_leave_no_paraphrase_out():
+    rng = np.random.default_rng(4)
+    b = rng.integers(1, 60, (3000, 24))
+    b[rng.random(b.shape) < 0.1] = -1
+    a = np.where(rng.random(b.shape) < 0.2, rng.integers(0, 60, b.shape), np.maximum(b, 0))
+    k, _ = leaks.paraphrased(a, b)
+    ok = leaks.possible(leaks.signatures(a), leaks.signatures(b), (b >= 0).sum(1))
+    assert len(k) > 500 and ok[k].all()
+    assert not leaks.possible(leaks.signatures(a), leaks.signatures(b + 1000), (b >= 0).sum(1)).all()
+
+
+def test_longest_run():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        x, y = rng.integers(0, 4, rng.integers(0, 30)), rng.integers(0, 4, rng.integers(1, 30))
+        runs = [n for i in range(len(x)) for j in range(len(y)) for n in range(1, 30) if i + n <= len(x) and j + n <= len(y) and (x[i : i + n] == y[j : j + n]).all() and (x[i : i + n] > 0).all()]
+        assert leaks.longest_run(x, y) == max(runs, default=0)
+
+
 def brute(items, docs):
     want = set()
     for i, lang, t in items:
