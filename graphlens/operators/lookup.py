@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names that one pass over the objects looks for; more are looked for in further passes.
-TERMS_AT_ONCE = 500
+#: Characters of the pieces by which names and terms meet.
+GRAM = 3
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
@@ -33,28 +33,44 @@ def objects(modules: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFra
     )
 
 
+def _grams(text, n: int):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def parts_of(strings: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, string: which of the distinct `strings` contain which of the distinct `terms` (columns string, term; no blanks).
+
+    A string that contains a term contains the term's rarest piece of GRAM characters (all of a shorter term): an equi-join on
+    that piece gives the candidates. Pieces are counted only where some term has them."""
+    told = None
+    for n in range(1, GRAM + 1):
+        own = terms.filter(F.length("term") == n if n < GRAM else F.length("term") >= n)
+        asked = own.select("term", F.explode(_grams("term", n)).alias("gram"))
+        held = strings.filter(F.length("string") >= n).select("string", F.explode(_grams("string", n)).alias("gram"))
+        if n == GRAM:
+            count = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+            asked = asked.join(count, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        met = held.join(asked, "gram").select("term", "string")
+        told = met if told is None else told.unionByName(met)
+    return told.filter(F.contains("string", F.col("term")))
+
+
 def name_search(found_in: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     """term, repo_id, id, tier, rank: objects whose name or other name equals or contains a term, case apart.
 
     found_in: repo_id, id, name, other. Tier 0: equal name, 1: equal other name, 2: part of one. Of each term the first
-    `limit` by tier, length of the other name, id. Terms (trimmed, lower case, distinct; null and blank ones dropped) are
-    a stated query set: they are read in blocks of TERMS_AT_ONCE, each tested in one pass over the objects.
+    `limit` by tier, length of the other name, repo_id, id. Terms are trimmed, in lower case and distinct; null and blank ones
+    are dropped. Terms meet distinct names only, and of each name no more than `limit` objects go further.
     """
     asked = terms.select(F.lower(F.trim(terms.columns[0])).alias("term")).filter("term <> ''").distinct()
-    blocks = max(1, -(-asked.count() // TERMS_AT_ONCE))
     rows = found_in.select("repo_id", "id", F.lower("name").alias("n"), F.lower("other").alias("o"))
-    out = None
-    for k in range(blocks):
-        own = sorted(r[0] for r in asked.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect())
-        if own:
-            hits = F.filter(F.array(*[F.lit(t) for t in own]), lambda t: F.contains(F.col("n"), t) | F.contains(F.col("o"), t))
-            part = rows.withColumn("term", F.explode(hits))
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.withColumn("term", F.lit("")).limit(0)
-    tier = F.when(F.col("n") == F.col("term"), 0).when(F.col("o") == F.col("term"), 1).otherwise(2)
-    out = first_of(out.withColumn("tier", tier), ["term"], ["tier", F.length("o"), "repo_id", "id"], limit, "rank")
-    return out.select("term", "repo_id", "id", "tier", "rank")
+    order = [F.length("o"), "repo_id", "id"]
+    bears = [first_of(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("string"), "o", "repo_id", "id", F.lit(exact).alias("exact")), ["string"], order, limit) for c, exact in (("n", 0), ("o", 1))]
+    bears = bears[0].unionByName(bears[1])
+    met = parts_of(rows.select(F.explode(F.array("n", "o")).alias("string")).filter("string is not null").distinct(), asked)
+    out = met.join(bears, "string").withColumn("tier", F.when(F.col("string") == F.col("term"), F.col("exact")).otherwise(2))
+    out = out.groupBy("term", "repo_id", "id", "o").agg(F.min("tier").alias("tier"))
+    return first_of(out, ["term"], ["tier", *order], limit, "rank").select("term", "repo_id", "id", "tier", "rank")
 
 
 def containing_spans(selections: DataFrame, spans: DataFrame) -> DataFrame:

@@ -47,11 +47,12 @@ def distance_score(distance: Column) -> Column:
 def fused(anchor: Column, name: Column, kind: Column, similarity: Column, distance: Column, memory: Column) -> Column:
     """The weighted sum of all factors (tenths; similarity 0..1), at most 1, rounded half up to 4 digits.
 
-    Computed in whole units of 1e-5, so that equal factors give equal scores in any engine."""
+    Computed in whole units of 1e-11 (the similarity to 1e-9), so that equal factors give equal scores in any engine."""
     wa, wn, wt, ws, wd, wm = C.FUSION
-    s = F.floor(F.greatest(F.least(similarity, F.lit(1.0)), F.lit(0.0)) * 1000 + 0.5)
-    total = 100 * (wa * anchor + wn * name + wt * kind + wd * distance) + ws * s + wm * 1000 * memory.cast("int")
-    return F.floor((F.least(total, F.lit(100_000)) + 5) / 10) / 10_000
+    s = F.floor(F.greatest(F.least(similarity, F.lit(1.0)), F.lit(0.0)) * 1_000_000_000 + 0.5)
+    parts = (wa * anchor + wn * name + wt * kind + wd * distance + wm * 10 * memory.cast("int")).cast("long")
+    total = F.least(parts * 100_000_000 + ws * s, F.lit(100_000_000_000))
+    return F.floor((total + 5_000_000) / 10_000_000) / 10_000
 
 
 def ranked(scored: DataFrame, top: int = C.RANK_TOP_K, keys: tuple[str, ...] = ("seed",)) -> DataFrame:

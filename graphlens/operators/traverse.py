@@ -44,17 +44,15 @@ def mode_of(relation_type: Column, direction: Column) -> Column:
 def expand(seeds: DataFrame, relations: DataFrame, depth: int = 2, known: DataFrame | None = None) -> DataFrame:
     """seed, id, distance: what each seed reaches within `depth` hops, at its smallest distance; not the seed itself.
 
-    seeds: seed, and optionally modes (array<string>): then only relations of these modes are followed. known: ids that exist;
-    ends that are none of them are neither reached nor passed through. Null seeds reach nothing.
+    Only relations that have a mode are followed (calls, depends_on, references); inheritance is not. seeds: seed, and
+    optionally modes (array<string>): then only relations of these modes are followed. known: ids that exist; ends that are
+    none of them are neither reached nor passed through. Null seeds reach nothing. What is reached already is not followed again.
     """
-    edges = directed(relations)
+    edges = directed(relations).withColumn("mode", mode_of(F.col("relation_type"), F.col("direction"))).filter("mode is not null")
     if known is not None:
         edges = edges.join(known.select(F.col("id").alias("other")).distinct(), "other", "left_semi")
     with_modes = "modes" in seeds.columns
-    if with_modes:
-        edges = edges.withColumn("mode", mode_of(F.col("relation_type"), F.col("direction"))).filter("mode is not null").select("id", "other", "mode").distinct()
-    else:
-        edges = edges.select("id", "other")
+    edges = edges.select("id", "other", *(["mode"] if with_modes else []))
     carried = ["modes"] if with_modes else []
     frontier = seeds.filter("seed is not null").distinct().withColumn("id", F.col("seed"))
     reached = None
@@ -62,12 +60,21 @@ def expand(seeds: DataFrame, relations: DataFrame, depth: int = 2, known: DataFr
         met = frontier.join(edges, "id")
         if with_modes:
             met = met.filter(F.array_contains("modes", F.col("mode")))
-        frontier = met.select("seed", F.col("other").alias("id"), *carried).distinct()
-        step = frontier.filter("seed <> id").select("seed", "id", F.lit(hop).alias("distance"))
+        frontier = met.select("seed", F.col("other").alias("id"), *carried).filter("seed <> id").distinct()
+        if 1 < hop < depth:
+            frontier = frontier.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
+        step = frontier.select("seed", "id", F.lit(hop).alias("distance"))
         reached = step if reached is None else reached.unionByName(step)
     return reached.groupBy("seed", "id").agg(F.min("distance").alias("distance"))
 
 
+def with_containers(reached: DataFrame, symbols: DataFrame) -> DataFrame:
+    """seed, id, kind, distance: reached symbols with the files and modules that hold them, each at its smallest distance."""
+    rows = reached.join(symbols.select("id", "file_id", "module_id"), "id")
+    parts = F.array(*[F.struct(F.col(c).alias("id"), F.lit(kind).alias("kind")) for c, kind in (("id", "symbol"), ("file_id", "file"), ("module_id", "module"))])
+    return rows.select("seed", "distance", F.inline(parts)).filter("id is not null").groupBy("seed", "id", "kind").agg(F.min("distance").alias("distance"))
+
+
 def expansion_gain(reached: DataFrame, questions: DataFrame, names: DataFrame, distance: int = 2) -> DataFrame:
     """seed, found, relevant, gain: share of the objects at `distance` whose name or qualified name has one of the question's
     terms as a part. questions: seed, terms (array<string>); names: id, name, qualified_name. Without terms every object counts."""

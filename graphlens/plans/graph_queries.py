@@ -28,7 +28,8 @@ def _reached(spark: SparkSession, d: str) -> DataFrame:
 
 
 _N = "substr({0}, 3)::bigint"
-_BFS = f"""WITH {V.GRAPH}, e AS (SELECT source_id AS id, target_id AS other FROM gr UNION SELECT target_id, source_id FROM gr),
+_BFS = f"""WITH {V.GRAPH}, ge AS (SELECT * FROM gr WHERE relation_type IN ('calls', 'depends_on', 'references')),
+e AS (SELECT source_id AS id, target_id AS other FROM ge UNION SELECT target_id, source_id FROM ge),
 k AS (SELECT e.* FROM e JOIN gs ON e.other = gs.id),
 h0 AS (SELECT id AS seed FROM gs WHERE {_N.format("id")} % 100 = 0),
 h1 AS (SELECT DISTINCT seed, other AS id FROM h0 JOIN k ON seed = k.id),
@@ -42,6 +43,15 @@ def bfs_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return _reached(spark, d)
 
 
+@query(
+    "expansion_containers",
+    _BFS + """SELECT seed, id, kind, min(distance) AS distance FROM (SELECT seed, b.id, 'symbol' AS kind, distance FROM b JOIN gs USING (id) UNION ALL SELECT seed, file_id, 'file', distance FROM b JOIN gs USING (id)
+    UNION ALL SELECT seed, module_id, 'module', distance FROM b JOIN gs USING (id)) GROUP BY ALL""",
+)
+def expansion_containers(spark: SparkSession, d: str) -> DataFrame:
+    return T.with_containers(_reached(spark, d), V.g_symbols(spark, d))
+
+
 _MODES = [["callers"], ["callees", "depends_on"], ["reverse_depends_on", "references"]]
 
 
@@ -120,9 +130,9 @@ c AS (SELECT b.seed, s.id, s.file_id, s.module_id, s.name, s.type, distance,
   CASE WHEN s.id = b.seed THEN 10 WHEN s.file_id = q.file_id THEN 7 WHEN s.module_id = q.module_id THEN 4 ELSE 1 END AS ap,
   CASE WHEN list_contains(terms, s.name) OR list_contains(terms, s.qualified_name) THEN 10 WHEN len(list_filter(terms, lambda t: contains(s.name, t) OR contains(s.qualified_name, t))) > 0 THEN 5 ELSE 0 END AS nh,
   CASE WHEN (q.type = 'class' AND s.type = 'class') OR (q.type <> 'class' AND s.type IN ('function', 'method')) THEN 10 ELSE 0 END AS tm,
-  (({_N.format("b.seed")} * 31 + {_N.format("s.id")} * 17) % 1000) AS sim, CASE distance WHEN 1 THEN 8 ELSE 4 END AS dg, ({_N.format("s.id")} % 10 = 0)::int AS mem
+  (({_N.format("b.seed")} * 31 + {_N.format("s.id")} * 17) % 99991) / 99991 AS sim, CASE distance WHEN 1 THEN 8 ELSE 4 END AS dg, ({_N.format("s.id")} % 10 = 0)::int AS mem
   FROM b JOIN gs s USING (id) JOIN q ON b.seed = q.id),
-sc AS (SELECT *, ((least(100 * (30 * ap + 15 * nh + 10 * tm + 10 * dg) + 25 * sim + 10000 * mem, 100000) + 5) // 10) / 10000 AS score FROM c),
+sc AS (SELECT *, ((least(100000000 * (30 * ap + 15 * nh + 10 * tm + 10 * dg + 100 * mem)::bigint + 25 * floor(sim * 1000000000 + 0.5)::bigint, 100000000000) + 5000000) // 10000000) / 10000 AS score FROM c),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10)
 """
 )
@@ -139,7 +149,7 @@ def scored(spark: SparkSession, d: str, reached: DataFrame | None = None) -> Dat
         F.concat(F.lit("where is the "), F.when(F.col("type") == "class", "class").otherwise("function"), F.lit(" "), "name", F.lit(" used")).alias("question"),
     ).withColumn("terms", X.identifiers(F.col("question")))
     c = reached.join(s.select("id", "file_id", "module_id", "name", "qualified_name", "type"), "id").join(q, "seed")
-    similarity = ((_number("seed") * 31 + _number("id") * 17) % 1000) / 1000
+    similarity = ((_number("seed") * 31 + _number("id") * 17) % 99991) / 99991
     score = R.fused(
         R.anchor_proximity(F.col("id"), F.col("file_id"), F.col("module_id"), F.col("seed"), F.col("anchor_file"), F.col("anchor_module")),
         R.name_hit(F.col("name"), F.col("qualified_name"), F.col("terms")),

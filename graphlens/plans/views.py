@@ -81,13 +81,13 @@ def g_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_relations(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 5 + 1).alias("kind")).distinct()
     kinds = F.array(*[F.lit(v) for v in ("calls", "depends_on", "references", "inherits", "implements")])
     return li.select(
         F.concat(F.lit("S_"), "l_orderkey").alias("source_id"),
         F.concat(F.lit("S_"), "l_partkey").alias("target_id"),
-        F.element_at(kinds, F.col("l_linenumber") % 5 + 1).alias("relation_type"),
-    ).distinct()
+        F.element_at(kinds, F.col("kind")).alias("relation_type"),
+    )
 
 
 GRAPH = """
