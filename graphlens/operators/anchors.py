@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens import config as C
 from graphlens.functions import text as X
-from graphlens.operators.lookup import first_of
+from graphlens.operators.lookup import first_of, name_search
 
 #: Words that are no names, parts of a question that goes on, and phrases of one.
 STOPWORDS = "what why how when where which who does show explain tell about 实现 作用 为什么 怎么 如何 哪个 哪些".split()
@@ -42,20 +42,29 @@ def inherits(question: Column, focus: Column) -> Column:
     return (F.size(name_candidates(question)) == 0) & is_follow_up(question) & (F.coalesce(focus == "", F.lit(True)) | shared | short)
 
 
+#: Objects of each kind that a name finds.
+FOUND_OF_A_KIND = 4
+
+
 def by_name(questions: DataFrame, objects: DataFrame) -> DataFrame:
     """question_id, id, kind, confidence: the object that a question names; none where more than MOST_MATCHES bear a name in it.
 
-    questions: question_id, repo_id, question; objects: repo_id, id, kind, name, other. A name matches by equality (name, or
-    qualified name or path, case apart); an object counts with the first name that it bears, earlier names weigh more; of
-    several the best, then the smallest id. One match gives NAME_EXACT, more NAME_AMBIGUOUS."""
+    questions: question_id, repo_id, question; objects: repo_id, id, kind, name, other (as lookup.objects gives them). A name
+    finds up to FOUND_OF_A_KIND objects of each kind in the repo: equal names first, then names that hold it, shorter ones
+    first. An object counts with the first name that finds it. Its weight: 1 less .1 for each earlier name, plus 1 where the
+    name is equal, .7 where it ends with it, .4 where it holds it; ties in the order of names, symbols before files before
+    modules, as found. One object gives NAME_EXACT, more NAME_AMBIGUOUS."""
     asked = questions.select("question_id", "repo_id", F.posexplode(name_candidates(F.col("question"))).alias("i", "term"))
-    keys = objects.select("repo_id", "id", "kind", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("other")))).alias("term"))
-    met = first_of(asked.join(keys, ["repo_id", "term"]), ["question_id", "id"], ["i", "term"])
-    weight = F.greatest(F.lit(0.0), 1 - F.col("i") * 0.1)
-    told = met.groupBy("question_id").agg(F.count("*").alias("n"))
-    best = first_of(met.withColumn("_w", weight), ["question_id"], [F.col("_w").desc(), "id"])
-    confidence = F.when(F.col("n") == 1, C.NAME_EXACT).otherwise(C.NAME_AMBIGUOUS)
-    return best.join(told.filter(F.col("n") <= MOST_MATCHES), "question_id").select("question_id", "id", "kind", confidence.alias("confidence"))
+    kinds = F.array(*[F.lit(k) for k in ("symbol", "file", "module")])
+    found = name_search(objects, asked.select("repo_id", F.explode(kinds).alias("kind"), "term"), FOUND_OF_A_KIND, ("repo_id", "kind"), F.col("kind") == "symbol")
+    found = found.withColumn("_k", F.array_position(kinds, F.col("kind")))
+    met = first_of(asked.join(found, ["repo_id", "term"]), ["question_id", "id"], ["i", "_k", "rank"])
+    names = F.array("n", "o")
+    how = F.when(F.array_contains(names, F.col("term")), 10).when(F.exists(names, lambda v: F.endswith(v, F.col("term"))), 7).otherwise(4)
+    told = met.groupBy("question_id").agg(F.count("*").alias("n_met"))
+    best = first_of(met.withColumn("_w", F.greatest(F.lit(0), 10 - F.col("i")) + how), ["question_id"], [F.col("_w").desc(), "i", "_k", "rank"])
+    confidence = F.when(F.col("n_met") == 1, C.NAME_EXACT).otherwise(C.NAME_AMBIGUOUS)
+    return best.join(told.filter(F.col("n_met") <= MOST_MATCHES), "question_id").select("question_id", "id", "kind", confidence.alias("confidence"))
 
 
 def resolved(questions: DataFrame, spans: DataFrame, names: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ def replace_repo(df: DataFrame, path: str) -> None:
 
 
 def upserted(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of `stored` whose key `new` does not hold, and all of `new` (one row per key)."""
-    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """The rows of `stored` whose key `new` does not hold, and of `new` the greatest row of each key (columns in order)."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else new.distinct()
+    return stored.join(new.select(*keys), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def with_ids(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of the pieces by which names and terms meet.
@@ -33,44 +33,47 @@ def objects(modules: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFra
     )
 
 
-def _grams(text, n: int):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+def _pieces(text, n: int):
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def parts_of(strings: DataFrame, terms: DataFrame) -> DataFrame:
     """term, string: which of the distinct `strings` contain which of the distinct `terms` (columns string, term; no blanks).
 
     A string that contains a term contains the term's rarest piece of GRAM characters (all of a shorter term): an equi-join on
-    that piece gives the candidates. Pieces are counted only where some term has them."""
-    told = None
-    for n in range(1, GRAM + 1):
-        own = terms.filter(F.length("term") == n if n < GRAM else F.length("term") >= n)
-        asked = own.select("term", F.explode(_grams("term", n)).alias("gram"))
-        held = strings.filter(F.length("string") >= n).select("string", F.explode(_grams("string", n)).alias("gram"))
-        if n == GRAM:
-            count = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-            asked = asked.join(count, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        met = held.join(asked, "gram").select("term", "string")
-        told = met if told is None else told.unionByName(met)
-    return told.filter(F.contains("string", F.col("term")))
-
-
-def name_search(found_in: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
-    """term, repo_id, id, tier, rank: objects whose name or other name equals or contains a term, case apart.
-
-    found_in: repo_id, id, name, other. Tier 0: equal name, 1: equal other name, 2: part of one. Of each term the first
-    `limit` by tier, length of the other name, repo_id, id. Terms are trimmed, in lower case and distinct; null and blank ones
-    are dropped. Terms meet distinct names only, and of each name no more than `limit` objects go further.
+    that piece gives the candidates. Only pieces that some term has go further than the scan of the strings."""
+    own = F.when(F.length("term") < GRAM, F.array("term")).otherwise(_pieces("term", GRAM))
+    asked = terms.select("term", F.explode(F.array_distinct(own)).alias("gram"))
+    every = F.array_distinct(F.flatten(F.array(*[_pieces("string", n) for n in range(1, GRAM + 1)])))
+    held = strings.select("string", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    rare = asked.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return held.join(rare, "gram").filter(F.contains("string", F.col("term"))).select("term", "string")
+
+
+def name_search(found_in: DataFrame, terms: DataFrame, limit: int = 10, within: tuple[str, ...] = (), other_first: Column | None = None) -> DataFrame:
+    """term, repo_id, id, tier, rank, n, o and the columns of `within`: objects whose name or other name equals or contains a
+    term, case apart.
+
+    found_in: repo_id, id, name, other. Tier 0: equal name, 1: equal other name (the other way round where `other_first`), 2: part
+    of one. Of each term the first `limit` by tier, length of the other name, repo_id, id. Terms are trimmed, in lower case
+    and distinct; null and blank ones are dropped. terms: the term in its last column, before it columns that `found_in` has
+    as well (`within`): then a term is looked for among the objects with these values only. Terms meet distinct names only,
+    and of each name no more than `limit` objects go further.
     """
-    asked = terms.select(F.lower(F.trim(terms.columns[0])).alias("term")).filter("term <> ''").distinct()
-    rows = found_in.select("repo_id", "id", F.lower("name").alias("n"), F.lower("other").alias("o"))
+    asked = terms.select(*within, F.lower(F.trim(terms.columns[-1])).alias("term")).filter("term <> ''").distinct()
+    more = [c for c in within if c != "repo_id"]
+    rows = found_in.select("repo_id", "id", *more, F.lower("name").alias("n"), F.lower("other").alias("o"), F.coalesce(other_first if other_first is not None else F.lit(False), F.lit(False)).alias("_first"))
     order = [F.length("o"), "repo_id", "id"]
-    bears = [first_of(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("string"), "o", "repo_id", "id", F.lit(exact).alias("exact")), ["string"], order, limit) for c, exact in (("n", 0), ("o", 1))]
+    of = lambda c, turned: rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("string"), "n", "o", "repo_id", "id", *more, (F.col("_first") if turned else ~F.col("_first")).alias("_top"))
+    bears = [first_of(of(c, turned), [*within, "string"], order, limit) for c, turned in (("n", False), ("o", True))]
     bears = bears[0].unionByName(bears[1])
-    met = parts_of(rows.select(F.explode(F.array("n", "o")).alias("string")).filter("string is not null").distinct(), asked)
-    out = met.join(bears, "string").withColumn("tier", F.when(F.col("string") == F.col("term"), F.col("exact")).otherwise(2))
-    out = out.groupBy("term", "repo_id", "id", "o").agg(F.min("tier").alias("tier"))
-    return first_of(out, ["term"], ["tier", *order], limit, "rank").select("term", "repo_id", "id", "tier", "rank")
+    met = parts_of(rows.select(F.explode(F.array("n", "o")).alias("string")).filter("string is not null").distinct(), asked.select("term").distinct())
+    out = met.join(bears, "string")
+    if within:
+        out = out.join(asked, [*within, "term"], "left_semi")
+    out = out.withColumn("tier", F.when(F.col("string") != F.col("term"), 2).when(F.col("_top"), 0).otherwise(1))
+    out = out.groupBy("term", "repo_id", "id", *more, "n", "o").agg(F.min("tier").alias("tier"))
+    return first_of(out, [*within, "term"], ["tier", *order], limit, "rank").select("term", "repo_id", "id", *more, "tier", "rank", "n", "o")
 
 
 def containing_spans(selections: DataFrame, spans: DataFrame) -> DataFrame:

@@ -114,7 +114,8 @@ def snapshot_changes(repos: DataFrame, files: DataFrame, levels: tuple[int, ...]
     rows = files.select("repo_id", F.lower(F.trim("commit_hash")).alias("name"), plain_path(F.col("path")).alias("path"), plain_hash(F.col("content_hash")).alias("hash"), "loaded_at").filter("path is not null")
     names = cut(snapshot_names(repos, rows.withColumnRenamed("name", "commit_hash")), "snapshot-names")
     few = names.count() <= MOST_BROADCAST
-    known = names.select("repo_id", "name", "snapshot", "next")
+    # (said here once, so that both readers of the placed rows ask the same of them and share one exchange)
+    known = names.select("repo_id", "name", "snapshot", "next").filter("repo_id is not null and snapshot is not null")
     last = F.struct(F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "hash").alias("last")
     placed = rows.join(F.broadcast(known) if few else known, ["repo_id", "name"]).select("repo_id", leaf, "snapshot", "next", "path", last).repartition("repo_id", "leaf")
     states = placed.groupBy("repo_id", "leaf", "snapshot", "next", "path").agg(F.max("last").alias("last")).select("repo_id", "leaf", "snapshot", "next", "path", "last.hash")

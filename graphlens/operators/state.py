@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from graphlens import config as C
 from graphlens.functions import text as X
 from graphlens.operators.lookup import first_of
-from graphlens.operators.positions import nearest_rank, positioned, sessions
+from graphlens.operators.positions import carried, nearest_rank, positioned, sessions
 
 TERMINAL = ("success", "failed")
 
@@ -21,21 +22,36 @@ def rate_limited(events: DataFrame, key: str = "user_id", at: str = "ts", tie: s
     """key, windows, accepted, rejected: a window begins with the first request after the last one ended; in it `limit`
     requests are accepted, later ones are rejected but counted.
 
-    Requests apart by a whole window or more always begin a new one, so that stretches between such gaps are folded
-    independently, each over its sorted times; a busy key is as many stretches as it has pauses."""
-    parts = sessions(events.select(key, at, tie), key, at, tie, window_s)
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    times = parts.groupBy(key, "session").agg(F.array_sort(F.collect_list(us)).alias("times"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(None).cast("long").alias("begin"), zero.alias("n"), zero.alias("windows"), zero.alias("rejected"))
+    Requests apart by a whole window or more always begin a new one, so that stretches between such gaps go to tasks of their
+    own. A stretch is sorted and streamed: memory holds one batch and one window's begin and count, and the work is one search per
+    window, not per request."""
+    parts = sessions(events.select(key, at, tie), key, at, tie, window_s).select(key, "session", F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    kind = events.schema[key].dataType.simpleString()
+    span = window_s * 1_000_000
 
-    def step(s, t):
-        new = s["begin"].isNull() | (t >= s["begin"] + F.lit(window_s * 1_000_000))
-        n = F.when(new, F.lit(1).cast("long")).otherwise(s["n"] + 1)
-        return F.struct(F.when(new, t).otherwise(s["begin"]).alias("begin"), n.alias("n"), (s["windows"] + new.cast("long")).alias("windows"), (s["rejected"] + (n > limit).cast("long")).alias("rejected"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, begin, n, out = None, 0, 0, []
+        for b in batches:
+            us = b["us"].to_numpy()
+            owner = list(zip(b[key], b["session"]))
+            edges = [i for i in range(len(owner)) if i == 0 or owner[i] != owner[i - 1]] + [len(owner)]
+            for lo, hi in zip(edges, edges[1:]):
+                fresh = owner[lo] != now
+                now = owner[lo]
+                windows = rejected = 0
+                i = lo
+                while i < hi:
+                    if fresh or us[i] >= begin + span:
+                        begin, n, windows, fresh = us[i], 0, windows + 1, False
+                    j = i + int(np.searchsorted(us[i:hi], begin + span))
+                    rejected += max(0, n + j - i - limit) - max(0, n - limit)
+                    n, i = n + j - i, j
+                out.append((now[0], windows, hi - lo - rejected, rejected))
+            yield pd.DataFrame(out, columns=[key, "windows", "accepted", "rejected"])
+            out = []
 
-    told = times.select(key, F.size("times").cast("long").alias("n"), F.aggregate("times", start, step).alias("s"))
-    return told.groupBy(key).agg(F.sum("s.windows").alias("windows"), F.sum(F.col("n") - F.col("s.rejected")).alias("accepted"), F.sum("s.rejected").alias("rejected"))
+    told = parts.repartition(key, "session").sortWithinPartitions(key, "session", "us").mapInPandas(fold, f"{key} {kind}, windows long, accepted long, rejected long")
+    return told.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("windows", "accepted", "rejected")])
 
 
 def session_spans(events: DataFrame, key: str = "user_id", at: str = "ts", tie: str = "event_id", ttl_s: float = C.SESSION_TTL_S) -> DataFrame:
@@ -46,14 +62,15 @@ def session_spans(events: DataFrame, key: str = "user_id", at: str = "ts", tie:
 
 def anchors_kept(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
     """`turns` (level, confidence, target) with what the session's anchor is after each: `kept_target`, and `cleared` where the
-    target changed. A strong anchor is not overwritten by one of level none."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    target changed. A strong anchor is not overwritten by one of level none; a weak one is (and null from there on)."""
     real = F.when(F.col("level") != "none", F.struct("target", "confidence"))
-    last = F.last(real, ignorenulls=True).over(w)
+    x = carried(turns.withColumn("_real", real), [key], order, "_real", "_before")
+    last = F.coalesce("_real", "_before")
     kept = F.when(F.col("level") != "none", F.col("target")).when(last["confidence"] >= C.ANCHOR_STRONG, last["target"])
-    out = turns.withColumn("kept_target", kept)
-    before = F.lag("kept_target").over(Window.partitionBy(key).orderBy(*order))
-    return out.withColumn("cleared", before.isNotNull() & F.col("kept_target").isNotNull() & (before != F.col("kept_target")))
+    x = x.withColumn("kept_target", kept).withColumn("_kept", F.struct("kept_target"))
+    x = carried(x, [key], order, "_kept", "_was")
+    was = F.col("_was")["kept_target"]
+    return x.withColumn("cleared", was.isNotNull() & F.col("kept_target").isNotNull() & (was != F.col("kept_target"))).drop("_real", "_before", "_kept", "_was")
 
 
 def keyed_fold(rows: DataFrame, key: str, order: list[str], first: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], columns: list[str], schema: str) -> DataFrame:

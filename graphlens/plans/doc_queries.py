@@ -16,8 +16,9 @@ from graphlens.plans import graph_queries as GQ
 from graphlens.plans import views as V
 from graphlens.plans.graph_queries import _BFS, _N, _RANK
 from graphlens.plans.lookup_queries import _ENDS
+from graphlens.operators.positions import carried, positioned
 from graphlens.plans.registry import query
-from graphlens.tables import table
+from graphlens.tables import cut, table
 
 # -- texts --------------------------------------------------------------------------------------------------------------
 
@@ -71,7 +72,7 @@ def summary_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     f = V.files(spark, d)
-    return f.select(F.concat_ws("/", "repo_id", "id").alias("question_id"), "repo_id", F.concat(F.lit("what does `"), F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("` do in "), F.coalesce("path", F.lit(""))).alias("question"))
+    return f.select(F.concat_ws("/", "repo_id", "id").alias("question_id"), "repo_id", "id", F.concat(F.lit("explain `"), F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("`")).alias("question"))
 
 
 @query("name_candidates")
@@ -79,22 +80,27 @@ def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", A.name_candidates(F.col("text")).alias("candidates"))
 
 
-@query(
-    "anchor_from_name",
-    f"""WITH {V.CODE}, o AS (SELECT repo_id, id, 'module' AS kind, lower(name) AS n, lower(path) AS p FROM m UNION ALL SELECT repo_id, id, 'file', lower(name), lower(path) FROM f
+_NAMED = f"""WITH {V.CODE}, o AS (SELECT repo_id, id, 'module' AS kind, lower(name) AS n, lower(path) AS p FROM m UNION ALL SELECT repo_id, id, 'file', lower(name), lower(path) FROM f
       UNION ALL SELECT repo_id, id, 'symbol', lower(name), lower(qualified_name) FROM s),
-    k AS (SELECT DISTINCT repo_id, id, kind, term FROM (SELECT repo_id, id, kind, unnest([n, p]) AS term FROM o) WHERE term IS NOT NULL),
-    q AS (SELECT concat_ws('/', repo_id, id) AS question_id, repo_id, 'what does `' || regexp_replace(name, '\\.[^.]*$', '') || '` do in ' || coalesce(path, '') AS text FROM f),
+    q AS (SELECT concat_ws('/', repo_id, id) AS question_id, repo_id, 'explain `' || regexp_replace(name, '\\.[^.]*$', '') || '`' AS text FROM f),
     c0 AS (SELECT question_id, repo_id, list_filter([lower(regexp_extract(text, '`([A-Za-z_][\\p{{L}}\\p{{N}}_./:-]*)`', 1))], lambda t: length(t) > 1) AS quoted,
       list_transform(regexp_extract_all(text, '[A-Za-z_][\\p{{L}}\\p{{N}}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\\[\\]{{}}<>]+|[.,:;()\\[\\]{{}}<>]+$', '', 'g'))) AS terms FROM q),
     c1 AS (SELECT question_id, repo_id, list_concat(quoted, list_filter(terms, lambda t: length(t) > 1)) AS l FROM c0),
-    c AS (SELECT question_id, repo_id, list_filter(l, lambda t, i: list_position(l, t) = i AND t NOT IN ('what', 'why', 'how', 'when', 'where', 'which', 'who', 'does', 'show', 'explain', 'tell', 'about')) AS cand FROM c1),
+    c AS (SELECT question_id, repo_id, list_filter(l, lambda t, i: list_position(l, t) = i AND t NOT IN ('what', 'why', 'how', 'when', 'where', 'which', 'who', 'does', 'show', 'explain', 'tell', 'about', '实现', '作用', '为什么', '怎么', '如何', '哪个', '哪些')) AS cand FROM c1),
     a AS (SELECT question_id, repo_id, unnest(cand) AS term, generate_subscripts(cand, 1) - 1 AS i FROM c),
-    j AS (SELECT question_id, k.id, kind, i FROM a JOIN k USING (repo_id, term) QUALIFY row_number() OVER (PARTITION BY question_id, k.id ORDER BY i, term) = 1),
-    n AS (SELECT question_id, count(*) AS n FROM j GROUP BY ALL)
-    SELECT question_id, id, kind, CASE WHEN n = 1 THEN 0.85 ELSE 0.65 END::double AS confidence FROM j JOIN n USING (question_id) WHERE n <= 3
-    QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY greatest(0.0, 1 - i * 0.1) DESC, id) = 1""",
-)
+    w AS (SELECT DISTINCT repo_id, term FROM a),
+    h AS (SELECT o.repo_id, term, id, kind, n, p, CASE WHEN (CASE kind WHEN 'symbol' THEN p ELSE n END) = term THEN 0 WHEN (CASE kind WHEN 'symbol' THEN n ELSE p END) = term THEN 1 ELSE 2 END AS tier,
+      CASE kind WHEN 'symbol' THEN 0 WHEN 'file' THEN 1 ELSE 2 END AS kk FROM o JOIN w ON o.repo_id = w.repo_id AND (contains(n, term) OR contains(p, term))),
+    h4 AS (SELECT *, row_number() OVER (PARTITION BY repo_id, term, kind ORDER BY tier, length(p), id) AS rk FROM h QUALIFY rk <= 4),
+    j AS (SELECT question_id, id, kind, kk, rk, i, greatest(0, 10 - i) + CASE WHEN term IN (n, p) THEN 10 WHEN ends_with(n, term) OR ends_with(p, term) THEN 7 ELSE 4 END AS w FROM a JOIN h4 USING (repo_id, term)
+      QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY i, kk, rk) = 1),
+    n AS (SELECT question_id, count(*) AS n FROM j GROUP BY ALL),
+    an AS (SELECT question_id, id, kind, CASE WHEN n = 1 THEN 0.85 ELSE 0.65 END::double AS confidence FROM j JOIN n USING (question_id) WHERE n <= 3
+    QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY w DESC, i, kk, rk) = 1)
+"""
+
+
+@query("anchor_from_name", _NAMED + "SELECT question_id, id, kind, confidence FROM an")
 def anchor_from_name(spark: SparkSession, d: str) -> DataFrame:
     o = L.objects(V.modules(spark, d), V.files(spark, d), V.symbols(spark, d))
     return A.by_name(_asked(spark, d), o)
@@ -112,19 +118,35 @@ def follow_up_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "anchor_resolution",
-    f"""WITH {V.CODE}, q AS (SELECT repo_id || '/' || id AS question_id, start_line, row_number() OVER (ORDER BY 1) AS z FROM s),
-    x AS (SELECT question_id, CASE WHEN start_line % 4 = 0 THEN 'selection' WHEN start_line % 4 = 1 THEN 'name_match' WHEN start_line % 4 = 2 THEN 'memory_inherit' ELSE 'none' END AS source,
-      CASE WHEN start_line % 4 = 0 THEN 'span' WHEN start_line % 4 = 1 THEN 'name' WHEN start_line % 4 = 2 THEN 'kept' END AS id,
-      CASE start_line % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.65 WHEN 2 THEN 0.72 ELSE 0 END::double AS confidence FROM q WHERE start_line IS NOT NULL) SELECT * FROM x""",
+    _NAMED
+    + """, sel AS (SELECT repo_id, id, file_id, start_line, end_line FROM s WHERE start_line % 3 = 0),
+    sp AS (SELECT repo_id, file_id, id AS span_id, type, start_line AS a, end_line AS b FROM s UNION ALL SELECT repo_id, id, id, 'file', start_line, end_line FROM f),
+    hit AS (SELECT sel.repo_id, sel.file_id, sel.id AS sel_id, span_id FROM sel JOIN sp USING (repo_id, file_id) WHERE a <= sel.start_line AND b >= sel.end_line
+      QUALIFY row_number() OVER (PARTITION BY sel.repo_id, sel.id ORDER BY CASE WHEN type IN ('method', 'function') THEN 0 WHEN type IN ('class', 'interface') THEN 1 WHEN type = 'file' THEN 2 ELSE 3 END, b - a, span_id) = 1),
+    fs AS (SELECT concat_ws('/', repo_id, file_id) AS question_id, min(span_id) AS id FROM hit GROUP BY ALL),
+    ask AS (SELECT concat_ws('/', repo_id, id) AS question_id, repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS turn FROM f),
+    real AS (SELECT ask.question_id, repo_id, turn, coalesce(fs.id, an.id) AS id, CASE WHEN fs.id IS NOT NULL THEN 0.95 ELSE an.confidence END AS confidence FROM ask LEFT JOIN fs USING (question_id) LEFT JOIN an USING (question_id)),
+    bef AS (SELECT question_id, last_value(CASE WHEN id IS NOT NULL THEN {'id': id, 'c': confidence} END IGNORE NULLS) OVER (PARTITION BY repo_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM real)
+    SELECT ask.question_id, CASE WHEN fs.id IS NOT NULL THEN 'selection' WHEN an.id IS NOT NULL THEN 'name_match' WHEN k IS NOT NULL AND turn % 2 = 0 THEN 'memory_inherit' ELSE 'none' END AS source,
+      CASE WHEN fs.id IS NOT NULL THEN fs.id WHEN an.id IS NOT NULL THEN an.id WHEN turn % 2 = 0 THEN k.id END AS id,
+      CASE WHEN fs.id IS NOT NULL THEN 0.95 WHEN an.id IS NOT NULL THEN an.confidence WHEN k IS NOT NULL AND turn % 2 = 0 THEN round(k.c::decimal(10,6) * 0.9::decimal(10,6), 4)::double ELSE 0 END::double AS confidence
+    FROM ask LEFT JOIN fs USING (question_id) LEFT JOIN an USING (question_id) LEFT JOIN bef USING (question_id)""",
 )
 def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Selections before names before the session's anchor, over all symbols as questions."""
-    q = V.symbols(spark, d).filter("start_line is not null").select(F.concat("repo_id", F.lit("/"), "id").alias("question_id"), "start_line")
-    r = F.col("start_line") % 4
-    spans = q.filter(r == 0).select("question_id", F.lit("span").alias("id"), F.lit(0.95).alias("confidence"))
-    names = q.filter(r <= 1).select("question_id", F.lit("name").alias("id"), F.lit(0.65).alias("confidence"))
-    kept = q.select("question_id", F.lit("kept").alias("id"), F.lit(0.8).alias("confidence"), (r <= 2).alias("takes"))
-    return A.resolved(q, spans, names, kept)
+    """One question about every file: selections (every third symbol's lines) by their best span, names by search, and what the
+    repo's earlier questions were about, which every second question takes over."""
+    s, f = V.symbols(spark, d), V.files(spark, d)
+    spans = s.select("repo_id", "file_id", F.col("id").alias("span_id"), "type", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    spans = spans.unionByName(f.select("repo_id", F.col("id").alias("file_id"), F.col("id").alias("span_id"), F.lit("file").alias("type"), F.col("start_line").alias("a"), F.col("end_line").alias("b")))
+    selections = s.filter("start_line % 3 = 0").select("repo_id", F.col("id").alias("sel_id"), "file_id", F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"))
+    hit = L.best_span(L.containing_spans(selections, spans)).groupBy(F.concat_ws("/", "repo_id", "file_id").alias("question_id")).agg(F.min("span_id").alias("id")).withColumn("confidence", F.lit(0.95))
+    asked = _asked(spark, d)
+    named = cut(A.by_name(asked, L.objects(V.modules(spark, d), f, s)), "named")
+    turns = positioned(asked.select("question_id", "repo_id", F.col("id").alias("file_id")), ["repo_id"], ["file_id"], "turn")
+    real = turns.join(hit.select("question_id", F.struct("id", "confidence").alias("_s")), "question_id", "left").join(named.select("question_id", F.struct("id", "confidence").alias("_n")), "question_id", "left")
+    kept = carried(real.withColumn("_a", F.coalesce("_s", "_n")), ["repo_id"], ["turn"], "_a", "before")
+    memory = kept.filter("before is not null").select("question_id", "before.*", (F.col("turn") % 2 == 0).alias("takes"))
+    return A.resolved(asked, hit, named, memory)
 
 
 # -- plans and sections --------------------------------------------------------------------------------------------------
@@ -295,14 +317,13 @@ def review_headings(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "review_level_jump",
     _HEAD.replace("WITH t", "WITH o AS (SELECT source, doc_id, generated_at FROM documents WHERE source IS NOT NULL), t")
-    + """, k AS (SELECT source, doc_id * 10000 + line AS place, level FROM h JOIN o USING (doc_id)), j AS (SELECT *, lag(level) OVER (PARTITION BY source ORDER BY place) AS previous FROM k)
-    SELECT source, place::bigint AS place, previous::int AS previous, level::int AS level FROM j WHERE level > previous + 1""",
+    + """, j AS (SELECT h.*, lag(level) OVER (PARTITION BY doc_id ORDER BY line) AS previous FROM h JOIN o USING (doc_id))
+    SELECT doc_id, line::int AS line, previous::int AS previous, level::int AS level FROM j WHERE level > previous + 1""",
 )
 def review_level_jump(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of all documents of a source, in order, that go down more than one level at once."""
+    """Headings of a document that go down more than one level at once."""
     docs = table(spark, d, "documents").filter("text is not null and source is not null")
-    h = R.headings(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumn("place", F.col("doc_id") * 10000 + F.col("line"))
-    return R.level_jumps(h.select("source", "place", "level"), "source", "place")
+    return R.level_jumps(R.headings(docs, "doc_id", "text"), "doc_id", "line")
 
 
 @query("review_missing_types", "WITH g AS (SELECT source, max((section_type IN ('overview', 'architecture'))::int) AS o, max((section_type = 'summary')::int) AS s FROM documents WHERE source IS NOT NULL GROUP BY ALL) SELECT source, 'overview' AS missing FROM g WHERE coalesce(o, 0) = 0 UNION ALL SELECT source, 'summary' FROM g WHERE coalesce(s, 0) = 0")

@@ -49,7 +49,7 @@ def embedded_objects(spark: SparkSession, d: str) -> DataFrame:
     SELECT term, repo_id, id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tier, length(o), repo_id, id) AS rank FROM h) WHERE rank <= 10""",
 )
 def name_search_files(spark: SparkSession, d: str) -> DataFrame:
-    return L.name_search(V.files(spark, d).select("repo_id", "id", "name", F.col("path").alias("other")), V.modules(spark, d).select("name"))
+    return L.name_search(V.files(spark, d).select("repo_id", "id", "name", F.col("path").alias("other")), V.modules(spark, d).select("name")).drop("n", "o")
 
 
 _SPANS = f"""WITH {V.CODE}, sp AS (
