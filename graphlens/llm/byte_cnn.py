@@ -62,28 +62,22 @@ class ByteNet:
         return np.concatenate(maxima, 1), kept
 
     def _tables(self) -> dict[int, list[np.ndarray]]:
-        """What each pair of neighbouring bytes adds to the filters of a width (a single byte at the end of an odd width)."""
-        out = {}
-        for w in WIDTHS:
-            per = [self.vectors @ self.p[f"w{w}"][k * DIM : (k + 1) * DIM] for k in range(w)]
-            pairs = [(per[k][:, None] + per[k + 1][None]).reshape(65536, FILTERS) for k in range(0, w - 1, 2)]
-            out[w] = pairs + per[w - 1 :] * (w % 2)
-        return out
+        """What each byte adds to the filters of a width, at each of its offsets (small enough for a core's own cache)."""
+        return {w: [self.vectors @ self.p[f"w{w}"][k * DIM : (k + 1) * DIM] for k in range(w)] for w in WIDTHS}
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Applying the filters needs no products: sums over the tables of byte pairs are the same numbers."""
+        """Applying the filters needs no products: sums over the tables of bytes are the same numbers."""
         tables = self.__dict__.setdefault("_kept", None) or self._tables()
         self._kept = tables
         out = np.zeros((len(x), len(self.p["bias"])), np.float32)
         for i in range(0, len(x), 128):
-            part = x[i : i + 128]
-            two = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
+            part = x[i : i + 128].astype(np.intp)
             maxima = []
             for w, own in tables.items():
                 places = WINDOW - w + 1
-                z = own[0].take(two[:, :places], axis=0)
+                z = own[0].take(part[:, :places], axis=0)
                 for k, t in enumerate(own[1:], 1):
-                    z += t.take(two[:, 2 * k : 2 * k + places] if len(t) == 65536 else part[:, 2 * k : 2 * k + places], axis=0)
+                    z += t.take(part[:, k : k + places], axis=0)
                 maxima.append(np.maximum(z.max(1) + self.p[f"b{w}"], 0))
             z = np.concatenate(maxima, 1) @ self.p["out"] + self.p["bias"]
             z -= z.max(1, keepdims=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.natural import latest_symbols
 from graphlens.llm.peg import Expr, absent, choice, emit, many, maybe, parse, rule, seq, token
-from graphlens.llm.prose import CJK, CODE_MARK, CUT, SPAN, WORD, file_languages
+from graphlens.llm.prose import CJK, CODE_MARK, WORD, file_languages, sentences, without_code
 from graphlens.tables import table
 
 # -- documentation comments ------------------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+")
 def says_something(sentence: str, name: str) -> bool:
     if STUB.match(sentence) or POINTER.match(sentence) or NOTICE.search(sentence):
         return False
-    plain = SPAN.sub(" x ", sentence)
+    plain = without_code(sentence, " x ")
     words = WORD.findall(sentence)
     cjk = len(CJK.findall(plain))
     if cjk >= 3:
@@ -166,7 +166,7 @@ def described(doc: str, name: str) -> tuple[str, int, int] | None:
         if NOTICE.search(text):
             continue
         at = 0
-        for s in CUT.split(text):
+        for s in sentences(text):
             s = s.strip()
             at = text.index(s, at)
             if s and says_something(s, name):

@@ -38,12 +38,15 @@ def stretches(texts: list[str | None], net, langs: list[str]) -> list[list[tuple
     flat = [w for doc in told for _, w, _ in doc]
     if not flat:
         return [[] for _ in texts]
-    x, of = windows(flat)
-    score = np.zeros((len(flat), len(langs)), np.float64)
-    np.add.at(score, of, net.log_probabilities(x))
+    # what several texts say in the same words is scored once
+    number: dict[str, int] = {}
+    own = np.array([number.setdefault(w, len(number)) for w in flat])
+    x, of = windows(list(number))
+    score = np.add.reduceat(net.log_probabilities(x).astype(np.float64), np.searchsorted(of, np.arange(len(number))), axis=0)[own]
+    places = np.bincount(of)[own]
     ends = np.cumsum([len(doc) for doc in told])
     best = np.concatenate([smoothed(score[e - len(doc) : e]) for doc, e in zip(told, ends) if doc])
-    sure = np.exp(score[np.arange(len(flat)), best] / np.bincount(of, minlength=len(flat)))
+    sure = np.exp(score[np.arange(len(flat)), best] / places)
     out, n = [], 0
     for doc in told:
         own: list[list] = []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlens.llm.kneser_ney import fit_clean
-from graphlens.llm.prose import CUT, file_languages, is_prose, labelled_sentences
+from graphlens.llm.prose import file_languages, is_prose, labelled_sentences, sentences
 from graphlens.tables import shipped, table
 
 # -- automata --------------------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def prose_of(texts: pa.Array | list[str], family: np.ndarray | None = None) -> t
     """Of many texts: each sentence's text number, its words, and its number of characters."""
     which, words, sizes = [], [], []
     for i, run in marked_runs(texts, family):
-        for s in CUT.split(run):
+        for s in sentences(run):
             s = TAG.sub("", s.lstrip(LEFT).rstrip(RIGHT))
             if len(s) >= 10 and (w := is_prose(s)):
                 which.append(i)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -29,14 +30,17 @@ NAMED = {name: code for code, names in LANGUAGES.items() for name in [code, *nam
 DOCS_PER_LANGUAGE = 120
 
 FENCE = re.compile(r"^[ \t>|*-]*(```|~~~).*?(?:^[ \t>|*-]*\1[^\n]*$|\Z)|^@start\w+.*?(?:^@end\w+[^\n]*$|\Z)", re.S | re.M)
-LEADER = re.compile(r"^[ \t]*(?:(?:[>|*\-+•#/]+|\d{1,3}[.)])[ \t]+)*", re.M)
+LEADER = re.compile(r"^[ \t]*(?:(?:[>|*\-+•#/]+|\d{1,3}[.)])[ \t]+)+", re.M)
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
 CUT = regex.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|(?<=[。！？][」』”»]?)(?![」』”»])\s*")
+CUT_LATIN = re.compile(r"([.!?…])[\"'»”)\]]*\s+")
 #: Code inside a sentence; each alternative reads a run of word characters once.
 SPAN = re.compile(
     r"`[^`\n]*`|(?<![\w])'[\w./:]+'|(?<![\w-])(?:[\w-]*+[./:]\w|(?:[^\W_]|-)*+_\w)[\w./:-]*|(?<![\w-])[./:]\w[\w./:-]*"
     r"|\b[^\Wa-z]*+[a-z][^\WA-Z]*+[A-Z]\w*|\b[^\W\d]*+\d\w*|<[^<>\n]{1,40}>|&\w+;"
 )
+#: What no sentence lacks that SPAN finds something in.
+MAYBE_SPAN = re.compile(r"[`<&\d_]|'[\w./:]|[./:]\w|\w[A-Z]")
 WORD = re.compile(r"[^\W\d_]+")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾝ]")
 CODE_MARK = re.compile(r"[;=(){}\[\]<>]")
@@ -75,19 +79,39 @@ def lang_codes(label: str | None) -> set[str]:
     return {NAMED[m] for p in parts if (m := re.split(r"[-_. ]", p.strip())[0]) in NAMED}
 
 
-def is_prose(sentence: str) -> str | None:
-    """The words of a sentence without code, in lower case; None where it is code or shorter than a sentence."""
-    words = SPAN.sub(" ", sentence)
+def sentences(text: str) -> list[str]:
+    """A text cut after each sentence; text without the enders of Chinese and Japanese takes a shorter way to the same."""
+    if "\0" in text or "。" in text or "！" in text or "？" in text:
+        return CUT.split(text)
+    return CUT_LATIN.sub("\\1\0", text).split("\0")
+
+
+def without_code(sentence: str, instead: str = " ") -> str:
+    return SPAN.sub(instead, sentence) if MAYBE_SPAN.search(sentence) else sentence
+
+
+def _is_prose(sentence: str) -> str | None:
+    words = without_code(sentence)
+    found = WORD.findall(words)
     cjk = len(CJK.findall(words))
-    n = len(WORD.findall(sentence)) if cjk < 3 else 0
+    n = len(found if words is sentence else WORD.findall(sentence)) if cjk < 3 else 0
     if (cjk < LEAST_CJK) if n == 0 else (n < LEAST_WORDS):
         return None
     if len(CODE_MARK.findall(words)) > max(1, 0.2 * max(n, cjk / 2)):
         return None
-    words = " ".join(w for w in WORD.findall(words)).lower()
+    words = " ".join(found).lower()
     return words if len(words) >= 4 else None
 
 
+_known = lru_cache(1 << 16)(_is_prose)
+
+
+def is_prose(sentence: str) -> str | None:
+    """The words of a sentence without code, in lower case; None where it is code or shorter than a sentence. Sentences of
+    usual length are remembered, as texts repeat them."""
+    return _known(sentence) if len(sentence) <= 400 else _is_prose(sentence)
+
+
 def document_sentences(text: str | None) -> list[tuple[str, str, bool]]:
     """(sentence, its words, whether it ends like one) of a document, in order, code blocks, headings, list and
     quote leaders left out. Sentences too short to count are left out, too."""
@@ -99,7 +123,7 @@ def document_sentences(text: str | None) -> list[tuple[str, str, bool]]:
     out = []
     for block in re.split(r"\n\s*\n", text):
         block = re.sub(r"-\n(?=[^\W\d_])", "", LEADER.sub("", block))
-        for s in CUT.split(re.sub(r"\s+", " ", re.sub(r"</?[a-z][^<>]{0,40}>", " ", block)).strip()):
+        for s in sentences(" ".join(re.sub(r"</?[a-z][^<>]{0,40}>", " ", block).split())):
             s = s.strip()
             if s and (w := is_prose(s)):
                 out.append((s, w, bool(END.search(s))))
