@@ -33,7 +33,7 @@ LEAK, LEAK_ZH, PARAPHRASE = 12, 24, 0.75
 #: the driver (a row of RANK + EXTRA floats for each that differs) is bounded by a block, not by the evaluation set.
 BLOCK_TERMS = 100_000
 #: Documents whose passages the latent space is fitted on, about; frequencies and the search cover all.
-FIT_DOCS = 20_000
+FIT_DOCS = 5_000
 
 TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 LEADER = re.compile(r"(?m)^[ \t]*(?:(?:[>|*+•#/%;:=~\-]+|\d{1,3}[.)])(?:[ \t]+|$))+")
@@ -121,6 +121,7 @@ class Items:
     def projected(self, told: tuple, basis: np.ndarray):
         doc, passage, term, unknown, w = told
         z = np.zeros((len(doc), basis.shape[1]), np.float32)
+        scaled = basis * self.weight[:, None]
         # an unknown word weighs what the passage's known words weigh in the mean: else how common a leak is would decide
         heavy = self.weight[term].astype(float) ** 2
         single = term < len(self)
@@ -131,7 +132,7 @@ class Items:
         for lo in range(0, len(doc), 2048):
             a, b = np.searchsorted(passage, [lo, lo + 2048])
             if b > a:
-                own = basis[term[a:b]] * self.weight[term[a:b], None]
+                own = scaled[term[a:b]]
                 first = np.flatnonzero(np.r_[True, passage[a + 1 : b] != passage[a : b - 1]])
                 z[passage[a:b][first]] = np.add.reduceat(own, first, axis=0)
         return doc, w, z, np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)

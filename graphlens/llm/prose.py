@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -103,13 +102,26 @@ def _is_prose(sentence: str) -> str | None:
     return words if len(words) >= 4 else None
 
 
-_known = lru_cache(1 << 16)(_is_prose)
+class Memory(dict):
+    """What was found out before; it travels to workers empty."""
+
+    def __reduce__(self):
+        return Memory, ()
+
+
+_known = Memory()
 
 
 def is_prose(sentence: str) -> str | None:
     """The words of a sentence without code, in lower case; None where it is code or shorter than a sentence. Sentences of
     usual length are remembered, as texts repeat them."""
-    return _known(sentence) if len(sentence) <= 400 else _is_prose(sentence)
+    if len(sentence) > 400:
+        return _is_prose(sentence)
+    if sentence not in _known:
+        if len(_known) >= 1 << 16:
+            _known.clear()
+        _known[sentence] = _is_prose(sentence)
+    return _known[sentence]
 
 
 def document_sentences(text: str | None) -> list[tuple[str, str, bool]]:
