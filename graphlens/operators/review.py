@@ -63,12 +63,14 @@ def missing_types(sections: DataFrame, key: str) -> DataFrame:
     return told.select(key, F.explode(F.filter(missing, lambda x: x.isNotNull())).alias("missing"))
 
 
-def diagram_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term: entities of a document's diagrams, without the diagram language's words and plain capitals."""
+def diagram_terms(texts: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """key, term: entities of a document's diagrams, without the diagram language's words and plain capitals, and without those
+    that `known` (term, lower case) holds."""
     blocks = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?s)(@startuml.*?@enduml)"), F.lit(1))
     tokens = F.regexp_extract_all(F.array_join(blocks, "\n"), F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))
     plain = F.filter(F.array_distinct(tokens), lambda t: ~F.lower(t).isin(*DIAGRAM_WORDS) & ~(t.rlike(r"^[A-Z0-9_]+$")) & ~F.lower(t).startswith("node_"))
-    return texts.select(key, F.explode(plain).alias("term"))
+    told = texts.select(key, F.explode(plain).alias("term"))
+    return told if known is None else told.join(known.select(F.col("term").alias("_known")).distinct(), F.lower("term") == F.col("_known"), "left_anti")
 
 
 def passed(issues: DataFrame, key: str) -> DataFrame:

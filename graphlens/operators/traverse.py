@@ -47,6 +47,7 @@ def expand(seeds: DataFrame, relations: DataFrame, depth: int = 2, known: DataFr
     Only relations that have a mode are followed (calls, depends_on, references); inheritance is not. seeds: seed, and
     optionally modes (array<string>): then only relations of these modes are followed. known: ids that exist; ends that are
     none of them are neither reached nor passed through. Null seeds reach nothing. What is reached already is not followed again.
+    A column `start` (several rows per seed) names where a seed begins; these ids count as reached from the outset.
     """
     edges = directed(relations).withColumn("mode", mode_of(F.col("relation_type"), F.col("direction"))).filter("mode is not null")
     if known is not None:
@@ -54,13 +55,16 @@ def expand(seeds: DataFrame, relations: DataFrame, depth: int = 2, known: DataFr
     with_modes = "modes" in seeds.columns
     edges = edges.select("id", "other", *(["mode"] if with_modes else []))
     carried = ["modes"] if with_modes else []
-    frontier = seeds.filter("seed is not null").distinct().withColumn("id", F.col("seed"))
+    several = "start" in seeds.columns
+    frontier = seeds.filter("seed is not null").withColumn("id", F.col("start" if several else "seed")).drop("start").distinct()
+    begun = frontier.select("seed", "id") if several else None
     reached = None
     for hop in range(1, depth + 1):
         met = frontier.join(edges, "id")
         if with_modes:
             met = met.filter(F.array_contains("modes", F.col("mode")))
-        frontier = met.select("seed", F.col("other").alias("id"), *carried).filter("seed <> id").distinct()
+        frontier = met.select("seed", F.col("other").alias("id"), *carried).distinct()
+        frontier = frontier.join(begun, ["seed", "id"], "left_anti") if several else frontier.filter("seed <> id")
         if 1 < hop < depth:
             frontier = frontier.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
         step = frontier.select("seed", "id", F.lit(hop).alias("distance"))

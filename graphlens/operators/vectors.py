@@ -32,7 +32,7 @@ def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: in
     rows, queries: id, kind, vector. A query meets only rows of the kinds in `top` (a number: k of every kind together with
     the row's own kind), never itself. Vectors of another length than the query's, null ones and ones with a null are left
     out; a zero vector has cosine 0. Similarities below `least` are dropped. Every task keeps its k best of each query
-    and kind, so that only those are shuffled. metric: cosine, l2 (1 / (1 + distance)) or ip; others raise.
+    and kind over all its batches, so that only those are shuffled. metric: cosine, l2 (1 / (1 + distance)) or ip; others raise.
     """
     if metric not in ("cosine", "l2", "ip"):
         raise ValueError(f"unknown metric {metric}")
@@ -46,22 +46,33 @@ def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: in
         sent = rows.sparkSession.sparkContext.broadcast(sets)
 
         def best(batches, sent=sent):
+            kept: dict = {}  # (length, kind): similarities and ids of the best rows of each query so far
             for b in batches:
-                for size, (ids, q) in sent.value.items():
-                    ok = np.array([v is not None and len(v) == size and not any(x is None for x in v) for v in b["vector"]], bool)
-                    for kind, g in b[ok].groupby("kind"):
-                        limit = top if isinstance(top, int) else top.get(kind, 0)
-                        if not limit:
+                ok = [v is not None and len(v) in sent.value and not any(x is None for x in v) for v in b["vector"]]
+                b = b[np.array(ok, bool)]
+                for (size, kind), g in b.groupby([b["vector"].map(len), "kind"]):
+                    limit = top if isinstance(top, int) else top.get(kind, 0)
+                    if not limit:
+                        continue
+                    ids, q = sent.value[size]
+                    x, rid = np.stack(list(g["vector"])).astype(float), g["id"].to_numpy()
+                    own_s, own_i = kept.setdefault((size, kind), (np.full((len(ids), limit), -np.inf), np.full((len(ids), limit), np.iinfo(np.int64).max)))
+                    for lo in range(0, len(ids), 512):
+                        s = np.round(_similarity(q[lo : lo + 512], x, metric), 9)
+                        s[(ids[lo : lo + 512, None] == rid[None]) | ~np.isfinite(s)] = -np.inf
+                        # what cannot be among the best so far (ties may) is not sorted
+                        rows_, new = np.nonzero(s >= np.maximum(own_s[lo : lo + 512, -1:], -1e300 if least is None else least))
+                        if not len(rows_):
                             continue
-                        x, rid = np.array([np.asarray(v, float) for v in g["vector"]]), g["id"].to_numpy()
-                        for lo in range(0, len(ids), 512):
-                            s = np.round(_similarity(q[lo : lo + 512], x, metric), 9)
-                            s[ids[lo : lo + 512, None] == rid[None]] = -np.inf
-                            order = np.lexsort((np.broadcast_to(rid, s.shape), -s), axis=1)[:, :limit]
-                            qi, ci = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
-                            keep = s[qi, ci] >= (-np.inf if least is None else least)
-                            keep &= np.isfinite(s[qi, ci])
-                            yield pd.DataFrame({"query_id": ids[lo + qi[keep]], "id": rid[ci[keep]], "kind": kind, "similarity": s[qi, ci][keep]})
+                        open_ = np.unique(rows_)
+                        for r in open_:
+                            at = new[np.searchsorted(rows_, r) : np.searchsorted(rows_, r, "right")]
+                            every, ident = np.r_[own_s[lo + r], s[r, at]], np.r_[own_i[lo + r], rid[at]]
+                            first = np.lexsort((ident, -every))[:limit]
+                            own_s[lo + r], own_i[lo + r] = every[first], ident[first]
+            for (size, kind), (own_s, own_i) in kept.items():
+                r, c = np.nonzero(np.isfinite(own_s))
+                yield pd.DataFrame({"query_id": sent.value[size][0][r], "id": own_i[r, c], "kind": kind, "similarity": own_s[r, c]})
 
         part = rows.select("id", "kind", "vector").mapInPandas(best, out)
         found = part if found is None else found.unionByName(part)

@@ -75,7 +75,13 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.concat_ws("/", "repo_id", "id").alias("question_id"), "repo_id", "id", F.concat(F.lit("explain `"), F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("`")).alias("question"))
 
 
-@query("name_candidates")
+@query(
+    "name_candidates",
+    r"""WITH c0 AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[`''"“”‘’]([A-Za-z_][\p{L}\p{N}_./:-]*)[`''"“”‘’]', 1), lambda t: lower(regexp_replace(t, '^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$', '', 'g'))), lambda t: length(t) > 1) AS quoted,
+      list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][\p{L}\p{N}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$', '', 'g'))), lambda t: length(t) > 1) AS terms FROM eval_items),
+    c1 AS (SELECT item_id, list_concat(quoted, terms) AS l FROM c0)
+    SELECT item_id, list_filter(l, lambda t, i: list_position(l, t) = i AND t NOT IN ('what', 'why', 'how', 'when', 'where', 'which', 'who', 'does', 'show', 'explain', 'tell', 'about', '实现', '作用', '为什么', '怎么', '如何', '哪个', '哪些')) AS candidates FROM c1""",
+)
 def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", A.name_candidates(F.col("text")).alias("candidates"))
 
@@ -366,9 +372,17 @@ def review_unknown_objects(spark: SparkSession, d: str) -> DataFrame:
     return R.unknown_objects(table(spark, d, "object_embeddings").select("repo_id", F.col("object_id").alias("id")), known, ["repo_id", "id"])
 
 
-@query("review_diagram_terms")
+@query(
+    "review_diagram_terms",
+    rf"""WITH {V.CODE}, n AS (SELECT DISTINCT lower(name) AS l FROM s UNION SELECT lower(qualified_name) FROM s UNION SELECT lower(path) FROM f UNION SELECT lower(name) FROM m),
+    t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(coalesce(text, ''), '(?s)@startuml.*?@enduml'), chr(10)), '[A-Za-z_][A-Za-z0-9_.]*'))) AS term FROM documents)
+    SELECT doc_id, term FROM t WHERE lower(term) NOT IN ({", ".join(repr(w) for w in R.DIAGRAM_WORDS)}) AND NOT regexp_full_match(term, '[A-Z0-9_]+') AND NOT starts_with(lower(term), 'node_')
+    AND lower(term) NOT IN (SELECT l FROM n WHERE l IS NOT NULL)""",
+)
 def review_diagram_terms(spark: SparkSession, d: str) -> DataFrame:
-    return R.diagram_terms(table(spark, d, "documents"), "doc_id", "text")
+    s, f, m = V.symbols(spark, d), V.files(spark, d), V.modules(spark, d)
+    known = s.select(F.explode(F.array("name", "qualified_name")).alias("t")).unionByName(f.select(F.col("path").alias("t"))).unionByName(m.select(F.col("name").alias("t")))
+    return R.diagram_terms(table(spark, d, "documents"), "doc_id", "text", known.select(F.lower("t").alias("term")).filter("term is not null"))
 
 
 @query(

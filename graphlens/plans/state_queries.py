@@ -64,14 +64,14 @@ def session_ttl(spark: SparkSession, d: str) -> DataFrame:
     return S.session_spans(table(spark, d, "events"), ttl_s=43_200)
 
 
-@query(
-    "rate_limit_fixed_window",
-    """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+_LIMITED = """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
       UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 6 HOUR GROUP BY w.user_id, w.s),
     a AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS z FROM w),
     c AS (SELECT a.user_id, a.s, count(*) AS n FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.s AND (a.z IS NULL OR e.ts < a.z) GROUP BY ALL)
-    SELECT user_id, count(*) AS windows, sum(least(n, 2))::bigint AS accepted, sum(greatest(n - 2, 0))::bigint AS rejected FROM c GROUP BY user_id""",
-)
+    SELECT user_id, count(*) AS windows, sum(least(n, 2))::bigint AS accepted, sum(greatest(n - 2, 0))::bigint AS rejected FROM c GROUP BY user_id"""
+
+
+@query("rate_limit_fixed_window", _LIMITED)
 def rate_limit_fixed_window(spark: SparkSession, d: str) -> DataFrame:
     return S.rate_limited(table(spark, d, "events"), limit=2, window_s=21_600)
 
@@ -229,7 +229,7 @@ def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     return daily_counters(spark, f"{d}/events.parquet")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", _LIMITED)
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     from graphlens.streaming.events import limited
 

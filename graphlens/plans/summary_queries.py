@@ -154,7 +154,14 @@ def knn_ip(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, "ip", None)
 
 
-@query("knn_bucketed")
+@query(
+    "knn_bucketed",
+    """WITH e AS (SELECT DISTINCT ON (id) id, lower(trim(object_type)) AS kind, embedding::double[] AS v FROM object_embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+    n AS (SELECT *, len(v) AS l, sqrt(list_dot_product(v, v)) AS z FROM e),
+    p AS (SELECT q.id AS query_id, r.id, r.kind, round(CASE WHEN q.z * r.z > 0 THEN list_dot_product(q.v, r.v) / (q.z * r.z) ELSE 0 END, 9) AS similarity FROM n q JOIN n r ON q.l = r.l AND q.id <> r.id WHERE q.id % 100 = 0)
+    SELECT query_id, id, kind, similarity, row_number() OVER (PARTITION BY query_id, kind ORDER BY similarity DESC, id)::int AS rank FROM p WHERE similarity >= 0.5
+    QUALIFY rank <= CASE kind WHEN 'module' THEN 5 WHEN 'file' THEN 10 WHEN 'symbol' THEN 20 WHEN 'relation' THEN 15 ELSE 0 END""",
+)
 def knn_bucketed(spark: SparkSession, d: str) -> DataFrame:
     """Of every hundredth object embedding its nearest objects per type, as many as the type's bucket holds."""
     e = table(spark, d, "object_embeddings")
