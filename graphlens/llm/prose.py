@@ -92,7 +92,7 @@ def without_code(sentence: str, instead: str = " ") -> str:
 def _is_prose(sentence: str) -> str | None:
     words = without_code(sentence)
     found = WORD.findall(words)
-    cjk = len(CJK.findall(words))
+    cjk = 0 if words.isascii() else len(CJK.findall(words))
     n = len(found if words is sentence else WORD.findall(sentence)) if cjk < 3 else 0
     if (cjk < LEAST_CJK) if n == 0 else (n < LEAST_WORDS):
         return None
