@@ -70,18 +70,51 @@ def imported_name(raw: Column, aliases: Column) -> Column:
     return out
 
 
-def resolve(raw: DataFrame, lookup: DataFrame) -> DataFrame:
-    """`raw` (scope, raw_id, optionally imported) with `object_id`: of the name's forms the first that the lookup knows, else the
-    trimmed name itself (dangling ends are legal). Distinct names are resolved once and joined back."""
+def resolve(raw: DataFrame, lookup: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """`raw` (scope, raw_id, optionally imported and file_id) with `object_id`: of the name's forms the first that is known, else
+    the trimmed name itself (dangling ends are legal). lookup: scope, key, id. local: scope, file_id, key, id: what a key
+    stands for within a file, before what it stands for elsewhere. Distinct names are resolved once and joined back."""
     name = F.trim("raw_id")
     imported = F.col("imported") if "imported" in raw.columns else None
-    keys = ["scope", "raw_id"] + (["imported"] if imported is not None else [])
+    keys = ["scope", "raw_id"] + (["imported"] if imported is not None else []) + (["file_id"] if local is not None else [])
     tried = raw.select(*keys).distinct().select(*keys, F.posexplode(forms(name, imported)).alias("priority", "key"))
-    hit = first_of(tried.join(lookup, ["scope", "key"]), keys, ["priority"]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("object_id"))
+    met = tried.join(lookup, ["scope", "key"]).withColumn("far", F.lit(1))
+    if local is not None:
+        met = met.select(*keys, "priority", "id", "far").unionByName(tried.join(local, ["scope", "file_id", "key"]).select(*keys, "priority", "id", F.lit(0).alias("far")))
+    hit = first_of(met, keys, ["priority", "far", "id"]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("object_id"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return raw.join(hit, same, "left").withColumn("object_id", F.coalesce("object_id", name)).drop(*[f"_{k}" for k in keys])
 
 
+def local_keys(symbols: DataFrame) -> DataFrame:
+    """scope, file_id, key, id: names and qualified names within a file (of several symbols with one, the greatest id)."""
+    keys = symbols.select("scope", "file_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key"), "id")
+    return keys.filter("key <> ''").groupBy("scope", "file_id", "key").agg(F.max("id").alias("id"))
+
+
+def export_keys(exports: DataFrame, lookup: DataFrame, local: DataFrame, symbols: DataFrame) -> DataFrame:
+    """scope, key, id: `stem.name` for what a file exports under a name: exports: scope, file_id, path, export, raw_id (what is
+    exported, as written). Names that lead to several symbols, or to none, have no key."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    named = exports.withColumn("key", F.concat(stem, F.lit("."), F.regexp_replace("export", "^export:", "")))
+    met = resolve(named, lookup, local).select("scope", "key", F.col("object_id").alias("id"))
+    return unique_keys(met.join(symbols.select("scope", "id"), ["scope", "id"], "left_semi"))
+
+
+def with_exports(lookup: DataFrame, exported: DataFrame) -> DataFrame:
+    """The lookup, in which exported names stand before others of the same key."""
+    return lookup.join(exported.select("scope", "key"), ["scope", "key"], "left_anti").unionByName(exported)
+
+
+def end_modules(ends: DataFrame, modules: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """`ends` (scope, object_id, module_id of where the name stands) with `object_module`: the module of the symbol or file that
+    the end is, the end itself where it is a module, else module_id."""
+    of = symbols.select("scope", F.col("id").alias("object_id"), F.lit(0).alias("_p"), F.col("module_id").alias("_m"))
+    of = of.unionByName(files.select("scope", F.col("id").alias("object_id"), F.lit(1).alias("_p"), F.col("module_id").alias("_m"))).unionByName(modules.select("scope", F.col("id").alias("object_id"), F.lit(2).alias("_p"), F.col("id").alias("_m")))
+    one = of.groupBy("scope", "object_id").agg(F.min_by("_m", F.struct("_p", "_m")).alias("_m"))
+    return ends.join(one, ["scope", "object_id"], "left").withColumn("object_module", F.coalesce("_m", "module_id")).drop("_m")
+
+
 def valid_relations(relations: DataFrame, objects: DataFrame) -> DataFrame:
     """Relations both of whose ends exist among `objects` (id, kind); ends of type `external` need not."""
     known = objects.select("id", F.col("kind")).distinct()

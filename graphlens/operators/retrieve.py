@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens import config as C
+from graphlens.functions import text as X
 from graphlens.operators import evidence as E
 from graphlens.operators import rank as R
+from graphlens.operators import traverse as T
 from graphlens.operators.lookup import directed
 
 Encoder = Callable[[list[str]], list[list[float]]]
@@ -69,6 +71,68 @@ def with_baseline(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.greatest("score", R.baseline(F.col("kind"), F.col("distance"))))
 
 
+def fused_candidates(candidates: DataFrame, where: DataFrame, questions: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """seed, id, kind, distance, file_id, module_id, score: candidates with all factors fused and raised to the baseline.
+
+    candidates: seed, id, kind, distance, similarity; where: id, kind, name, other, type, file_id, module_id; questions: seed, question
+    and its anchor's id (null: none); memory: seed, id of what the session dealt with. The anchor itself is no candidate, and
+    objects that are not there drop out."""
+    target = where.select(F.col("id").alias("anchor_id"), F.col("file_id").alias("anchor_file"), F.col("module_id").alias("anchor_module"))
+    asked = questions.select("seed", "question", F.col("id").alias("anchor_id")).join(target, "anchor_id", "left").withColumn("terms", X.identifiers(F.col("question")))
+    c = candidates.join(where, ["id", "kind"]).join(asked, "seed").filter("anchor_id is null or id <> anchor_id")
+    if memory is not None:
+        c = c.join(memory.select("seed", "id", F.lit(True).alias("_kept")).distinct(), ["seed", "id"], "left")
+    else:
+        c = c.withColumn("_kept", F.lit(False))
+    score = R.fused(
+        R.anchor_proximity(F.col("id"), F.col("file_id"), F.col("module_id"), F.col("anchor_id"), F.col("anchor_file"), F.col("anchor_module")),
+        R.name_hit(F.col("name"), F.col("other"), F.col("terms")),
+        R.type_match(F.col("type"), F.col("question")),
+        F.col("similarity"),
+        R.distance_score(F.col("distance")),
+        F.coalesce("_kept", F.lit(False)),
+    )
+    return with_baseline(c.select("seed", "id", "kind", "distance", "file_id", "module_id", score.alias("score")))
+
+
+def expanded(ranked: DataFrame, questions: DataFrame, relations: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFrame:
+    """seed, id, kind, distance: what expansion adds to ranked objects: from the anchor and every ranked symbol, by the modes that
+    the question asks for, the second hop only where it gains enough, each symbol with its file and module.
+
+    questions: seed, question, id, level; ranked: seed, id, kind."""
+    modes = questions.select("seed", T.expansion_modes(F.col("question")).alias("modes"))
+    starts = ranked.filter("kind = 'symbol'").select("seed", F.col("id").alias("start")).unionByName(questions.filter("level = 'symbol'").select("seed", F.col("id").alias("start")))
+    reached = T.expand(starts.distinct().join(modes, "seed"), relations, depth, symbols.select("id"))
+    gain = T.expansion_gain(reached, questions.select("seed", X.identifiers(F.col("question")).alias("terms")), symbols)
+    return T.with_containers(T.gated(reached, gain), symbols)
+
+
+def executed(ranked: DataFrame, routed: DataFrame, questions: DataFrame, graph: dict[str, DataFrame], where: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """seed, strategy, id, rank, score, added: the objects that a question is answered from once its strategy was carried out.
+
+    S1 keeps what was ranked. S2 adds what expansion finds (objects known before count as one hop away) and ranks all again;
+    `added` marks what is new. S3 looks again from another anchor: the question's own where it has one (what it finds is the
+    same), else the file or module that holds most of what was ranked; without such a one it becomes S4. S4 keeps what was ranked,
+    for an answer that asks back. ranked: seed, id, kind, distance, file_id, module_id, rank, score; routed: seed, strategy."""
+    told = questions.join(routed.select("seed", "strategy"), "seed")
+    old = ranked.join(told.select("seed", "strategy"), "seed")
+    second = told.filter("strategy = 'S2'")
+    mine = ranked.join(second.select("seed"), "seed", "left_semi")
+    more = expanded(mine, second, graph["relations"], graph["symbols"])
+    known = mine.select("seed", "id", "kind", F.lit(1).alias("distance"), F.lit(False).alias("added"))
+    both = known.unionByName(more.withColumn("added", F.lit(True))).groupBy("seed", "id", "kind").agg(F.min("distance").alias("distance"), F.min("added").alias("added"))
+    again = fused_candidates(both.withColumn("similarity", F.lit(0.0)), where, second, memory)
+    again = R.ranked(again).join(both.select("seed", "id", "kind", "added"), ["seed", "id", "kind"]).withColumn("strategy", F.lit("S2"))
+    guess = E.inferred_anchor(ranked.join(told.filter("strategy = 'S3' and id is null").select("seed"), "seed", "left_semi"))
+    third = guess.select("seed", F.col("anchor_id").alias("id"), "level").join(told.select("seed", "question"), "seed")
+    found = structured_recall(third, graph["modules"], graph["files"], graph["symbols"], graph["relations"])
+    other = R.ranked(fused_candidates(found.withColumn("similarity", F.lit(0.0)), where, third, memory)).withColumn("strategy", F.lit("S3")).withColumn("added", F.lit(False))
+    kept = old.filter("strategy <> 'S2'").join(third.select("seed"), "seed", "left_anti").join(told.select("seed", F.col("id").alias("_anchor")), "seed")
+    kept = kept.withColumn("strategy", F.when((F.col("strategy") == "S3") & F.col("_anchor").isNull(), "S4").otherwise(F.col("strategy"))).withColumn("added", F.lit(False))
+    columns = ["seed", "strategy", "id", "rank", "score", "added"]
+    return kept.select(*columns).unionByName(again.select(*columns)).unionByName(other.select(*columns))
+
+
 # -- embeddings ------------------------------------------------------------------------------------------------------------
 
 

@@ -322,13 +322,85 @@ def hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
     return Q.hybrid(_structured(spark, d), _hits(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("answer_modes")
+_ANSWER = (
+    _HYBRID
+    + r""", ob AS (SELECT id, 'symbol' AS kind, name, qualified_name AS other, type, file_id, module_id FROM gs UNION ALL SELECT id, 'file', name, path, 'file', id, module_id FROM gf UNION ALL SELECT id, 'module', name, path, 'module', NULL, id FROM gm),
+q0 AS (SELECT seed, level, substr(seed, 3)::bigint AS nr, 'where is the ' || CASE WHEN level = 'symbol' THEN CASE WHEN type = 'class' THEN 'class' ELSE 'function' END ELSE level END || ' ' || name || ' used' AS question, file_id AS af, module_id AS am FROM an JOIN ob ON seed = id),
+q AS (SELECT *, (40 + nr % 60) / 100 AS a, list_filter(list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z_][\p{L}\p{N}_./:-]*'), lambda t: lower(regexp_replace(t, '^[.,:;()\[\]{}<>]+|[.,:;()\[\]{}<>]+$', '', 'g')))), lambda t: length(t) > 1) AS terms FROM q0),
+cd AS (SELECT seed, id, kind, distance, similarity, false AS added FROM hy),
+fx AS (SELECT cd.seed, cd.id, cd.kind, distance, ob.file_id, ob.module_id, added,
+  CASE WHEN ob.file_id = af THEN 7 WHEN ob.module_id = am THEN 4 ELSE 1 END AS ap,
+  CASE WHEN list_contains(terms, lower(name)) OR list_contains(terms, lower(other)) THEN 10 WHEN len(list_filter(terms, lambda t: contains(lower(name), t) OR contains(lower(other), t))) > 0 THEN 5 ELSE 0 END AS nh,
+  CASE WHEN (contains(question, ' class ') AND type = 'class') OR (contains(question, ' function ') AND type IN ('function', 'method')) OR (contains(question, ' file ') AND type = 'file') OR (contains(question, ' module ') AND type = 'module') THEN 10 ELSE 0 END AS tm,
+  floor(least(greatest(similarity, 0.0), 1.0) * 1000000000 + 0.5)::bigint AS sim, CASE WHEN distance IS NULL THEN 0 WHEN distance <= 0 THEN 10 WHEN distance = 1 THEN 8 WHEN distance = 2 THEN 4 ELSE 1 END AS dg
+  FROM cd JOIN ob ON cd.id = ob.id AND cd.kind = ob.kind JOIN q ON cd.seed = q.seed WHERE cd.id <> cd.seed),
+sc AS (SELECT *, greatest(((least(100000000 * (30 * ap + 15 * nh + 10 * tm + 10 * dg)::bigint + 25 * sim, 100000000000) + 5000000) // 10000000) / 10000,
+  CASE WHEN distance IS NULL THEN 0.0 WHEN kind = 'symbol' THEN CASE WHEN distance <= 1 THEN 0.85 ELSE 0.65 END WHEN kind = 'file' THEN CASE WHEN distance <= 1 THEN 0.7 ELSE 0.55 END ELSE CASE WHEN distance <= 1 THEN 0.6 ELSE 0.45 END END)::double AS score FROM fx),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 10),
+n AS (SELECT seed, count(*) AS n FROM r WHERE rank <= 5 GROUP BY ALL),
+mk AS (SELECT seed, max(k) AS k FROM (SELECT seed, count(*) AS k FROM r WHERE rank <= 5 AND module_id IS NOT NULL GROUP BY seed, module_id UNION ALL SELECT seed, count(*) FROM r WHERE rank <= 5 AND file_id IS NOT NULL GROUP BY seed, file_id) GROUP BY ALL),
+mc AS (SELECT seed, round(coalesce(k, 0) / n, 4) AS c FROM n LEFT JOIN mk USING (seed)),
+me AS (SELECT seed, CASE WHEN count(*) FILTER (WHERE score >= 0.55) = 0 THEN 0.0 ELSE round(least(1.0, count(*) FILTER (WHERE score >= 0.55) * sum(score::decimal(12,4))::double / count(*) / 2.0), 4) END AS e FROM r GROUP BY ALL),
+mo AS (SELECT seed, module_id, count(*) AS k FROM r WHERE module_id IS NOT NULL GROUP BY ALL),
+mr AS (SELECT seed, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round(greatest(1 - (log2(sum(k)) - sum(k * log2(k)) / sum(k)) / log2(count(*)), 0.0), 4) END AS r FROM mo GROUP BY ALL),
+mm AS (SELECT q.seed, q.level, a, coalesce(c, 0) AS c, coalesce(e, 0) AS e, 1.0 AS g, coalesce(r, 0) AS r FROM q LEFT JOIN mc USING (seed) LEFT JOIN me USING (seed) LEFT JOIN mr USING (seed)),
+st2 AS (SELECT *, NOT (a >= 0.8 AND c >= 0.55 AND e >= 0.6 AND g >= 0.25) AND (a < 0.4 OR c < 0.35 OR e < 0.4 OR r < 0.4 OR g < 0.25) AS dgr FROM mm),
+ro AS (SELECT seed, level, a, c, e, g, r, CASE WHEN dgr THEN 'S4' WHEN a >= 0.8 AND e >= 0.6 THEN 'S1' WHEN a >= 0.6 AND e >= 0.6 AND c >= 0.55 THEN 'S1' WHEN a >= 0.6 AND e < 0.6 AND c >= 0.45 THEN 'S2' WHEN a < 0.6 AND c >= 0.55 THEN 'S3' ELSE 'S4' END AS strategy FROM st2)
+"""
+)
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question about every anchor; confidences are spread over .40 to .99."""
+    from graphlens.api import located
+
+    o = located(_graph(spark, d)).select("id", F.col("kind").alias("level"), "name", "type")
+    what = F.when(F.col("level") != "symbol", F.col("level")).when(F.col("type") == "class", "class").otherwise("function")
+    asked = _anchors(spark, d).join(o, ["id", "level"])
+    return asked.select("seed", "id", "level", F.concat(F.lit("where is the "), what, F.lit(" "), "name", F.lit(" used")).alias("question"), ((40 + _number("id") % 60) / 100).alias("confidence"))
+
+
+def _graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"modules": V.g_modules(spark, d), "files": V.g_files(spark, d).withColumn("repo_id", F.lit("r")), "symbols": V.g_symbols(spark, d).withColumn("repo_id", F.lit("r")), "relations": V.g_relations(spark, d)}
+
+
+@query(
+    "answer_modes",
+    _ANSWER
+    + """, l AS (SELECT seed, count(*) FILTER (WHERE score >= 0.6) AS su, count(*) FILTER (WHERE score < 0.6) AS un, count(*) AS m FROM r GROUP BY ALL)
+    SELECT seed, a::double AS a, c::double AS c, e::double AS e, g::double AS g, r::double AS r, strategy, CASE WHEN strategy = 'S4' THEN CASE WHEN su > 0 AND un > 0 THEN 'partial' WHEN c < 0.5 AND m >= 2 THEN 'candidates' WHEN level = 'module' THEN 'guided_module' WHEN level = 'file' THEN 'guided_file' WHEN m > 0 THEN 'guided_symbol' ELSE 'generic' END END AS mode
+    FROM ro LEFT JOIN l USING (seed)""",
+)
 def answer_modes(spark: SparkSession, d: str) -> DataFrame:
     """All questions through recall, fusion, metrics and strategy."""
     from graphlens.api import ask
 
-    graph = {"modules": V.g_modules(spark, d), "files": V.g_files(spark, d).withColumn("repo_id", F.lit("r")), "symbols": V.g_symbols(spark, d).withColumn("repo_id", F.lit("r")), "relations": V.g_relations(spark, d)}
-    return ask(graph, _anchors(spark, d).withColumn("confidence", F.lit(0.85)), _hits(spark, d))
+    return ask(_graph(spark, d), _questions(spark, d), _hits(spark, d))
+
+
+@query(
+    "strategy_execute",
+    _ANSWER
+    + """, s2 AS (SELECT seed FROM ro WHERE strategy = 'S2'),
+    b0 AS (SELECT DISTINCT seed, id FROM (SELECT r.seed, id FROM r JOIN s2 USING (seed) WHERE kind = 'symbol' UNION ALL SELECT seed, seed FROM an JOIN s2 USING (seed) WHERE level = 'symbol')),
+    ke AS (SELECT source_id AS id, target_id AS other FROM gr WHERE relation_type IN ('calls', 'depends_on', 'references') AND target_id IN (SELECT id FROM gs) UNION SELECT target_id, source_id FROM gr WHERE relation_type IN ('calls', 'depends_on', 'references') AND source_id IN (SELECT id FROM gs)),
+    b1 AS (SELECT DISTINCT seed, other AS id FROM b0 JOIN ke USING (id) EXCEPT SELECT * FROM b0),
+    b2 AS (SELECT DISTINCT seed, other AS id FROM b1 JOIN ke USING (id) EXCEPT SELECT * FROM b0 EXCEPT SELECT * FROM b1),
+    gn AS (SELECT seed, count(*) FILTER (WHERE len(list_filter(terms, lambda t: contains(gs.name, t) OR contains(qualified_name, t))) > 0) / count(*) AS gain FROM b2 JOIN gs USING (id) JOIN q USING (seed) GROUP BY ALL),
+    bb AS (SELECT seed, id, 1 AS distance FROM b1 UNION ALL SELECT seed, id, 2 FROM b2 JOIN gn USING (seed) WHERE round(gain, 4) >= 0.25),
+    ex AS (SELECT seed, id, 'symbol' AS kind, distance, true AS added FROM bb UNION ALL SELECT seed, file_id, 'file', distance, true FROM bb JOIN gs USING (id) UNION ALL SELECT seed, module_id, 'module', distance, true FROM bb JOIN gs USING (id)
+      UNION ALL SELECT r.seed, id, kind, 1, false FROM r JOIN s2 USING (seed)),
+    cd2 AS (SELECT seed, id, kind, min(distance) AS distance, 0.0 AS similarity, bool_and(added) AS added FROM ex GROUP BY ALL),
+    """
+    + _ANSWER[_ANSWER.index("fx AS (SELECT") : _ANSWER.index("n AS (SELECT seed, count(*) AS n FROM r WHERE rank <= 5")].replace("fx ", "fx2 ").replace("FROM fx)", "FROM fx2)").replace("sc AS (", "sc2 AS (").replace("FROM sc QUALIFY", "FROM sc2 QUALIFY").replace("r AS (SELECT *, row", "r2 AS (SELECT *, row").replace("cd.", "cd2.").replace("FROM cd JOIN", "FROM cd2 JOIN").rstrip().rstrip(",")
+    + """
+    SELECT seed, strategy, id, rank, score, false AS added FROM r JOIN ro USING (seed) WHERE strategy <> 'S2' UNION ALL SELECT seed, 'S2', id, rank, score, added FROM r2""",
+)
+def strategy_execute(spark: SparkSession, d: str) -> DataFrame:
+    """All questions with the objects that their strategies end with."""
+    from graphlens.api import answer
+
+    return answer(_graph(spark, d), _questions(spark, d), _hits(spark, d))
 
 
 @query("embedding_build")

@@ -257,6 +257,51 @@ def endpoint_resolution(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve(_calls(spark, d), _lookup(spark, d))
 
 
+_EXPORTS = (
+    _KEYS
+    + f""", lk AS (SELECT repo_id AS scope, file_id, key, max(id) AS id FROM (SELECT repo_id, file_id, id, unnest([name, qualified_name]) AS key FROM s) WHERE key <> '' AND file_id IS NOT NULL GROUP BY ALL),
+    xr AS (SELECT s.repo_id AS scope, s.file_id, s.name AS export, s.name AS raw_id, regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.[^.]*$', '') || '.' || s.name AS key FROM s JOIN f ON s.repo_id = f.repo_id AND s.file_id = f.id WHERE s.visibility = 'public'),
+    xo AS (SELECT xr.scope, xr.key, coalesce(lk.id, u.id) AS id FROM xr LEFT JOIN lk ON xr.scope = lk.scope AND xr.file_id = lk.file_id AND trim(xr.raw_id) = lk.key LEFT JOIN u ON xr.scope = u.scope AND trim(xr.raw_id) = u.key),
+    xk AS (SELECT scope, key, min(id) AS id FROM xo WHERE id IN (SELECT id FROM s WHERE s.repo_id = xo.scope) AND key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) = 1),
+    u2 AS (SELECT * FROM u WHERE (scope, key) NOT IN (SELECT (scope, key) FROM xk) UNION ALL SELECT * FROM xk),
+    c AS (SELECT repo_id AS scope, id AS source_id, file_id, module_id, unnest(regexp_extract_all({_CALLEES}, '"([^"]+)"', 1)) AS raw_id FROM s),
+    e AS (SELECT c.*, coalesce(lk.id, u2.id, trim(raw_id)) AS object_id FROM c LEFT JOIN lk ON c.scope = lk.scope AND c.file_id = lk.file_id AND trim(raw_id) = lk.key LEFT JOIN u2 ON c.scope = u2.scope AND trim(raw_id) = u2.key)
+"""
+)
+
+
+def _scoped(df: DataFrame) -> DataFrame:
+    return df.withColumn("scope", F.col("repo_id"))
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup with the public symbols of every file as its exports."""
+    s, f = _scoped(V.symbols(spark, d)), _scoped(V.files(spark, d))
+    paths = f.select("scope", F.col("id").alias("file_id"), "path")
+    exports = s.filter("visibility = 'public'").join(paths, ["scope", "file_id"]).select("scope", "file_id", "path", F.concat(F.lit("export:"), "name").alias("export"), F.col("name").alias("raw_id"))
+    return R.export_keys(exports, _lookup(spark, d), R.local_keys(s), s)
+
+
+@query("export_lookup", _EXPORTS + "SELECT scope, key, id FROM xk")
+def export_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _exported(spark, d)
+
+
+@query(
+    "endpoint_modules",
+    _EXPORTS
+    + """SELECT e.scope, source_id, raw_id, object_id, coalesce(es.module_id, ef.module_id, em.id, e.module_id) AS object_module FROM e LEFT JOIN s es ON e.scope = es.repo_id AND object_id = es.id
+    LEFT JOIN f ef ON e.scope = ef.repo_id AND object_id = ef.id LEFT JOIN m em ON e.scope = em.repo_id AND object_id = em.id""",
+)
+def endpoint_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Raw calls resolved within their file, then among exports and all symbols, with the module that each end belongs to."""
+    s, f, m = _scoped(V.symbols(spark, d)), _scoped(V.files(spark, d)), _scoped(V.modules(spark, d))
+    at = s.select("scope", F.col("id").alias("source_id"), "file_id", "module_id")
+    raw = _calls(spark, d).join(at, ["scope", "source_id"])
+    ends = R.resolve(raw, R.with_exports(_lookup(spark, d), _exported(spark, d)), R.local_keys(s))
+    return R.end_modules(ends, m, f, s).select("scope", "source_id", "raw_id", "object_id", "object_module")
+
+
 @query(
     "relations_valid_filter",
     f"""WITH {V.GRAPH}, r AS (SELECT 'S_' || l_orderkey AS source_id, 'symbol' AS source_type, CASE WHEN l_linenumber = 7 THEN 'S_' || l_partkey || 'x' ELSE 'S_' || l_partkey END AS target_id,

@@ -50,12 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that cut() wrote in this process.
+_CUTS: list[str] = []
+
+
+def forget_cuts(spark: SparkSession) -> int:
+    """Deletes what cut() wrote in this process, and says how many folders these were. To be called once the results that
+    read them are written: what was cut is read lazily, so that no earlier moment is safe."""
+    n = 0
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """`df` written once to the shared folder and read back: no later stage recomputes it, and a lost executor
     costs only a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

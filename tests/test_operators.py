@@ -1,5 +1,6 @@
 """Operators on small fixtures: expected values, nulls, ties, repeated rows, empty tables, extra columns."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -163,7 +164,7 @@ def test_valid_relations_and_numbers(spark, rows):
 
 @pytest.fixture(scope="module")
 def chain(spark):
-    r = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls"), ("d", "e", "calls"), ("x", "a", "inherits"), ("a", "a", "calls")], "source_id string, target_id string, relation_type string")
+    r = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls"), ("d", "e", "calls"), ("x", "a", "references"), ("y", "a", "inherits"), ("a", "a", "calls")], "source_id string, target_id string, relation_type string")
     return r, spark.createDataFrame([("a",), (None,)], "seed string")
 
 
@@ -404,7 +405,120 @@ def test_index_and_ask(spark, rows, tmp_path):
     assert (by["Service.run"], by["clean"]) in rows(g["relations"], "source_id", "target_id")
     assert rows(g["status"]) == [("app/main.py", "parsed"), ("app/util.py", "parsed"), ("gone.py", "deleted")]
     assert g["spans"].count() == 5
-    anchors = spark.createDataFrame([("q1", "symbol", by["Service.run"], 0.9), ("q2", "none", None, 0.0)], "seed string, level string, id string, confidence double")
+    again = api.index(spark, str(tmp_path), "repo_1", g["files"].select("path", "content_hash"), g["rows"].withColumn("qualified_name", F.when(F.col("qualified_name") == "clean", "kept").otherwise(F.col("qualified_name"))))
+    assert rows(again["status"], "status") == [("reused",), ("reused",)] and "kept" in {q for (q,) in rows(again["symbols"], "qualified_name")}
+    anchors = spark.createDataFrame([("q1", "symbol", by["Service.run"], 0.9, "what does clean do"), ("q2", "none", None, 0.0, None)], "seed string, level string, id string, confidence double, question string")
     hits = spark.createDataFrame([("q1", by["clean"], "symbol", 0.8)], "seed string, id string, kind string, similarity double")
     got = {r[0]: r[1] for r in rows(api.ask(g, anchors, hits), "seed", "strategy")}
     assert set(got) == {"q1", "q2"} and got["q2"] == "S4"
+    told = rows(api.answer(g, anchors, hits, hits.select("seed", "id")), "seed", "id")
+    assert ("q1", by["clean"]) in told and ("q1", by["Service.run"]) not in told
+
+
+def test_exported_names_and_modules_of_ends(spark, rows):
+    from graphlens.operators import resolve
+
+    s = spark.createDataFrame([("r", "S1", "run", "A.run", "F1", "M1"), ("r", "S2", "run", "B.run", "F2", "M2"), ("r", "S3", "go", "go", "F2", "M2")], "scope string, id string, name string, qualified_name string, file_id string, module_id string")
+    f = spark.createDataFrame([("r", "F1", "a/one.js", "M1"), ("r", "F2", "b/two.js", "M2")], "scope string, id string, path string, module_id string")
+    m = spark.createDataFrame([("r", "M1"), ("r", "M2")], "scope string, id string")
+    lookup, local = resolve.unique_keys(resolve.symbol_keys(s, f)), resolve.local_keys(s)
+    exports = spark.createDataFrame([("r", "F2", "b/two.js", "export:default", "run"), ("r", "F2", "b/two.js", "export:x", "nowhere")], "scope string, file_id string, path string, export string, raw_id string")
+    exported = resolve.export_keys(exports, lookup, local, s)
+    assert rows(exported, "key", "id") == [("two.default", "S2")]
+    raw = spark.createDataFrame([("r", "F1", "run", "M1"), ("r", "F2", "run", "M2"), ("r", "F1", "two.default", "M1"), ("r", "F1", "gone", "M1"), ("r", "F1", "M2", "M1"), ("r", "F1", "F2", "M1")], "scope string, file_id string, raw_id string, module_id string")
+    ends = resolve.end_modules(resolve.resolve(raw, resolve.with_exports(lookup, exported), local), m, f, s)
+    assert rows(ends, "file_id", "raw_id", "object_id", "object_module") == [("F1", "F2", "F2", "M2"), ("F1", "M2", "M2", "M2"), ("F1", "gone", "gone", "M1"), ("F1", "run", "S1", "M1"), ("F1", "two.default", "S2", "M2"), ("F2", "run", "S2", "M2")]
+
+
+# -- keys that hold most rows ----------------------------------------------------------------------------------------------
+
+
+def _hot(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(1 if i % 10 else i, T0 + timedelta(seconds=rng.choice([0, 1, 30, 59, 60, 7200]) * (i // 7)), i, float(rng.choice([5, 5, 5, i])), None if i % 3 else i) for i in range(3000)]
+    return rows, spark.createDataFrame(rows, "k long, t timestamp, i long, v double, x long")
+
+
+def test_positions_and_values_of_a_hot_key(spark):
+    from graphlens.operators import positions
+
+    data, df = _hot(spark)
+    own = [r for r in sorted(data, key=lambda r: (r[1], r[2])) if r[0] == 1]
+    got = {r["i"]: (r["position"], r["last"]) for r in positions.carried(positions.positioned(df, ["k"], ["t", "i"]), ["k"], ["position"], "x", "last").filter("k = 1").collect()}
+    last = None
+    for n, r in enumerate(own, 1):
+        assert got[r[2]] == (n, last)
+        last = r[4] if r[4] is not None else last
+    ranks = positions.nearest_rank(df, "k", "v", {"p50": 0.5, "p99": 0.99}).filter("k = 1").first()
+    values = sorted(r[3] for r in own)
+    assert (ranks["p50"], ranks["p99"]) == tuple(values[round((len(values) - 1) * q)] for q in (0.5, 0.99))
+    assert positions.positioned(df.limit(0), ["k"], ["t"]).count() == 0
+    same = spark.createDataFrame([(1, 2)] * 50, "k int, t int")
+    assert sorted(r["position"] for r in positions.positioned(same, ["k"], ["t"]).collect()) == list(range(1, 51))
+
+
+@pytest.mark.parametrize("limit,window", [(2, 60), (1, 7200)])
+def test_rate_limit_of_a_hot_key(spark, limit, window):
+    data, df = _hot(spark)
+    want = {}
+    for k in {r[0] for r in data}:
+        begin, n, windows, accepted, rejected = None, 0, 0, 0, 0
+        for t in sorted(r[1] for r in data if r[0] == k):
+            if begin is None or t >= begin + timedelta(seconds=window):
+                begin, n, windows = t, 0, windows + 1
+            n += 1
+            accepted, rejected = accepted + (n <= limit), rejected + (n > limit)
+        want[k] = (windows, accepted, rejected)
+    got = state.rate_limited(df, "k", "t", "i", limit, window)
+    assert {r["k"]: (r["windows"], r["accepted"], r["rejected"]) for r in got.collect()} == want
+
+
+def test_upsert_of_repeated_keys_is_the_same_each_time(spark, rows):
+    from graphlens.operators import cdc
+
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    new = spark.createDataFrame([("b", 2), ("b", 9), ("c", None)], "k string, v int")
+    assert rows(cdc.upserted(old, new, ["k"])) == [("a", 1), ("b", 9), ("c", None)]
+
+
+def test_cuts_are_deleted_on_demand(spark):
+    from graphlens import tables
+
+    df = tables.cut(spark.range(5), "try")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert tables.forget_cuts(spark) >= 1 and not os.path.exists(path) and tables.forget_cuts(spark) == 0
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from graphlens import tables
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session(master))
+
+
+def test_expansion_from_several_starts(spark, rows):
+    from graphlens.operators import traverse
+
+    rel = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "CALLS"), ("a", "z", "inherits"), ("x", "a", "references")], "source_id string, target_id string, relation_type string")
+    one_seed = spark.createDataFrame([("a",)], "seed string")
+    assert rows(traverse.expand(one_seed, rel, 3)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("a", "x", 1)]
+    starts = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", None)], "seed string, start string")
+    assert rows(traverse.expand(starts, rel, 2)) == [("q", "b", 1), ("q", "d", 1), ("q", "x", 1)]
+    held = spark.createDataFrame([("b", "F1", "M1"), ("c", "F1", None)], "id string, file_id string, module_id string")
+    assert rows(traverse.with_containers(traverse.expand(one_seed, rel, 2), held)) == [("a", "F1", "file", 1), ("a", "M1", "module", 1), ("a", "b", "symbol", 1), ("a", "c", "symbol", 2)]
+
+
+def test_names_within_names(spark, rows):
+    from graphlens.operators import lookup
+
+    o = spark.createDataFrame([("r", "1", "Run", "A.Run"), ("r", "2", "runner", "B.runner"), ("r", "3", "x", "run"), ("q", "4", "rerun", "C"), ("r", "5", None, None), ("r", "6", "ab", "a")], "repo_id string, id string, name string, other string")
+    t = spark.createDataFrame([("run ",), ("a",), ("",), (None,), ("nowhere",)], "name string")
+    assert rows(lookup.name_search(o, t), "term", "id", "tier") == [("a", "1", 2), ("a", "6", 1), ("run", "1", 0), ("run", "2", 2), ("run", "3", 1), ("run", "4", 2)]
