@@ -115,6 +115,51 @@ def module_summaries(spark: SparkSession, d: str) -> DataFrame:
     return S.module_summaries(V.g_modules(spark, d), V.g_files(spark, d), s, S.adjacent_modules(V.g_relations(spark, d), s))
 
 
+_PARTS = f"""WITH {V.GRAPH}, e2 AS (SELECT source_id AS id, target_id AS other FROM gr UNION SELECT target_id, source_id FROM gr),
+fd AS (SELECT DISTINCT a.file_id AS id, 'dependencies' AS role, coalesce(b.qualified_name, other) AS name FROM e2 JOIN gs a ON e2.id = a.id LEFT JOIN gs b ON other = b.id WHERE b.file_id IS NULL OR a.file_id <> b.file_id
+  UNION SELECT file_id, 'main_symbols', qualified_name FROM gs WHERE visibility = 'public'),
+sd AS (SELECT DISTINCT x.id, unnest(list_filter([CASE dir WHEN 'in' THEN 'callers' ELSE 'callees' END, CASE WHEN a.module_id IS DISTINCT FROM b.module_id THEN 'external_dependencies' END], lambda r: r IS NOT NULL)) AS role, coalesce(b.qualified_name, other) AS name
+  FROM (SELECT source_id AS id, target_id AS other, 'out' AS dir FROM gr UNION SELECT target_id, source_id, 'in' FROM gr) x JOIN gs a ON x.id = a.id LEFT JOIN gs b ON other = b.id),
+"""
+
+
+def _listed(of: str, roles: tuple[str, ...]) -> str:
+    lists = ", ".join(f"list(name ORDER BY name) FILTER (WHERE role = '{r}') AS {r}" for r in roles)
+    return f"num AS (SELECT *, (row_number() OVER (PARTITION BY id, role ORDER BY name) - 1) // 1000 AS part FROM {of}), li AS (SELECT id, part, {lists} FROM num GROUP BY ALL)"
+
+
+@query(
+    "file_summaries",
+    _PARTS
+    + _listed("fd", ("dependencies", "main_symbols"))
+    + f""", g AS (SELECT gf.*, 'python' AS language FROM gf) SELECT g.id, coalesce(part, 0)::int AS part, to_json(struct_pack(dependencies := coalesce(dependencies, []), file_path := g.path, main_symbols := coalesce(main_symbols, []), module := coalesce(gm.path, g.module_id),
+      responsibility_label := {_FILE.replace("lower(name)", "lower(g.name)")}))::varchar AS summary FROM g LEFT JOIN gm ON g.module_id = gm.id LEFT JOIN li ON g.id = li.id""",
+)
+def file_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return S.file_summaries(V.g_modules(spark, d), V.g_files(spark, d).withColumn("language", F.lit("python")), V.g_symbols(spark, d), V.g_relations(spark, d))
+
+
+@query(
+    "symbol_summaries",
+    _PARTS
+    + _listed("sd", ("callees", "callers", "external_dependencies"))
+    + f""" SELECT gs.id, coalesce(part, 0)::int AS part, to_json(struct_pack(callees := coalesce(callees, []), callers := coalesce(callers, []), external_dependencies := coalesce(external_dependencies, []), file := coalesce(gf.path, file_id), module := coalesce(gm.path, gs.module_id),
+      name := gs.name, responsibility_label := {_SYMBOL.replace("lower(name)", "lower(gs.name)")}))::varchar AS summary FROM gs LEFT JOIN gf ON file_id = gf.id LEFT JOIN gm ON gs.module_id = gm.id LEFT JOIN li ON gs.id = li.id""",
+)
+def symbol_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return S.symbol_summaries(V.g_modules(spark, d), V.g_files(spark, d), V.g_symbols(spark, d), V.g_relations(spark, d))
+
+
+@query(
+    "relation_summaries",
+    f"""WITH {V.GRAPH} SELECT source_id, target_id, relation_type, to_json(struct_pack(relation_type := relation_type, relationship_label := a.qualified_name || ' ' || CASE relation_type WHEN 'calls' THEN 'calls' WHEN 'implements' THEN 'implements'
+    WHEN 'depends_on' THEN 'depends on' WHEN 'references' THEN 'references' ELSE 'relates to' END || ' ' || b.qualified_name, source_module := a.module_id, source_name := a.qualified_name, source_type := a.type,
+    target_module := b.module_id, target_name := b.qualified_name, target_type := b.type))::varchar AS summary FROM gr JOIN gs a ON source_id = a.id JOIN gs b ON target_id = b.id""",
+)
+def relation_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return S.relation_summaries(V.g_relations(spark, d), V.g_symbols(spark, d))
+
+
 @query(
     "relation_labels",
     f"""WITH {V.GRAPH} SELECT source_id, target_id, relation_type, a.qualified_name || ' ' || CASE relation_type WHEN 'calls' THEN 'calls' WHEN 'implements' THEN 'implements'
