@@ -17,7 +17,7 @@ from graphlens.plans import views as V
 from graphlens.plans.graph_queries import _BFS, _N, _RANK
 from graphlens.plans.lookup_queries import _ENDS
 from graphlens.operators.positions import carried, positioned
-from graphlens.plans.registry import query
+from graphlens.plans.registry import oracle, query
 from graphlens.tables import cut, table
 
 # -- texts --------------------------------------------------------------------------------------------------------------
@@ -171,7 +171,26 @@ def _cross(spark: SparkSession, d: str) -> DataFrame:
     return r.filter("a <> b").select(F.col("scope").alias("repo_id")).distinct()
 
 
-@query("plan_skeleton")
+def _skeleton_sql() -> str:
+    from graphlens.plans.summary_queries import _CALLEES, _KEYS
+
+    return (
+        _KEYS
+        + f""", cl AS (SELECT repo_id AS scope, id AS source_id, unnest(regexp_extract_all({_CALLEES}, '"([^"]+)"', 1)) AS raw_id FROM s),
+    en AS (SELECT cl.scope, source_id, coalesce(u.id, trim(raw_id)) AS object_id FROM cl LEFT JOIN u ON cl.scope = u.scope AND trim(raw_id) = u.key),
+    cr AS (SELECT DISTINCT en.scope AS repo_id FROM en JOIN s a ON en.scope = a.repo_id AND source_id = a.id JOIN s b ON en.scope = b.repo_id AND object_id = b.id WHERE a.module_id <> b.module_id),
+    rp AS (SELECT DISTINCT repo_id FROM m), nn AS (SELECT repo_id, file_id AS id, count(*) AS c FROM s GROUP BY ALL),
+    bf AS (SELECT f.repo_id, f.module_id, f.id, f.name, row_number() OVER (PARTITION BY f.repo_id, f.module_id ORDER BY coalesce(c, 0) + (length(coalesce(f.summary, '')) > 0)::int DESC, f.path NULLS FIRST, f.id) AS k
+      FROM f LEFT JOIN nn ON f.repo_id = nn.repo_id AND f.id = nn.id QUALIFY k <= 3),
+    al AS (SELECT repo_id, 0 AS a, '' AS b, 0 AS c, 'overview' AS section_id, 'overview' AS title, 1 AS level, 'overview' AS section_type FROM rp UNION ALL SELECT repo_id, 1, '', 0, 'architecture', 'architecture', 1, 'architecture' FROM rp
+      UNION ALL SELECT repo_id, 2, id, 0, 'module-' || id, name, 2, 'module' FROM m UNION ALL SELECT bf.repo_id, 2, bf.module_id, k, 'file-' || bf.id, bf.name, 3, 'module' FROM bf SEMI JOIN m ON bf.repo_id = m.repo_id AND bf.module_id = m.id
+      UNION ALL SELECT repo_id, 3, '', 0, 'dependency-analysis', 'dependency-analysis', 1, 'dependency' FROM cr WHERE repo_id IN (SELECT repo_id FROM rp)
+      UNION ALL SELECT DISTINCT repo_id, 4, '', 0, 'api', 'api', 1, 'api' FROM s WHERE {_API} AND repo_id IN (SELECT repo_id FROM rp) UNION ALL SELECT repo_id, 5, '', 0, 'summary', 'summary', 1, 'summary' FROM rp)
+    SELECT repo_id, section_id, title, level, section_type, row_number() OVER (PARTITION BY repo_id ORDER BY a, b, c, section_id)::int AS position FROM al"""
+    )
+
+
+@query("plan_skeleton", _skeleton_sql())
 def plan_skeleton(spark: SparkSession, d: str) -> DataFrame:
     return D.skeleton(V.modules(spark, d), V.files(spark, d).select("repo_id", "module_id", "id", "name", "path", "summary"), V.symbols(spark, d), _cross(spark, d))
 
@@ -423,7 +442,15 @@ def diagram_class(spark: SparkSession, d: str) -> DataFrame:
     return G.classes(V.g_symbols(spark, d), V.g_relations(spark, d), "file_id")
 
 
-@query("diagram_sequence")
+_NODE = "'node_' || regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '_', 'g')"
+
+
+@query(
+    "diagram_sequence",
+    f"""WITH ch AS ({oracle("call_chain_edges")}), who AS (SELECT seed, id, min(depth) AS depth FROM (SELECT seed, source_id AS id, depth FROM ch UNION ALL SELECT seed, target_id, depth FROM ch) GROUP BY ALL),
+    l AS (SELECT seed, 0 AS part, depth, id AS y, '' AS z, 'participant "' || id || '" as ' || {_NODE.format("id")} AS line FROM who UNION ALL SELECT seed, 1, depth, source_id, target_id, {_NODE.format("source_id")} || ' -> ' || {_NODE.format("target_id")} || ' : calls' FROM ch)
+    SELECT seed, '@startuml' || chr(10) || 'autonumber' || chr(10) || string_agg(line, chr(10) ORDER BY part, depth, y, z) || chr(10) || '@enduml' AS diagram FROM l GROUP BY seed""",
+)
 def diagram_sequence(spark: SparkSession, d: str) -> DataFrame:
     return G.sequence(T.call_chain(GQ._seeds(spark, d), V.g_relations(spark, d)))
 

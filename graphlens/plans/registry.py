@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that was registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from graphlens.plans import doc_queries, graph_queries, lookup_queries, snapshot_queries, state_queries, summary_queries  # noqa: F401
 
