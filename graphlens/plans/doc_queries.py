@@ -258,7 +258,7 @@ def section_recall_dependency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "section_recall_data_flow",
-    _BFS.replace("e AS (SELECT source_id AS id, target_id AS other FROM gr UNION SELECT target_id, source_id FROM gr)", "e AS (SELECT source_id AS id, target_id AS other FROM gr WHERE relation_type IN ('calls', 'depends_on') UNION SELECT target_id, source_id FROM gr WHERE relation_type IN ('calls', 'depends_on'))")
+    _BFS.replace("relation_type IN ('calls', 'depends_on', 'references')", "relation_type IN ('calls', 'depends_on')")
     + "SELECT seed, id, distance FROM b",
 )
 def section_recall_data_flow(spark: SparkSession, d: str) -> DataFrame:

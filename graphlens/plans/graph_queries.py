@@ -180,7 +180,7 @@ def baseline_boost(spark: SparkSession, d: str) -> DataFrame:
 _METRICS = """, n AS (SELECT seed, count(*) AS n FROM r WHERE rank <= 5 GROUP BY ALL),
 mk AS (SELECT seed, max(k) AS k FROM (SELECT seed, count(*) AS k FROM r WHERE rank <= 5 GROUP BY seed, module_id UNION ALL SELECT seed, count(*) FROM r WHERE rank <= 5 GROUP BY seed, file_id) GROUP BY ALL),
 mc AS (SELECT seed, round(k / n, 4) AS c FROM n JOIN mk USING (seed)),
-me AS (SELECT seed, CASE WHEN count(*) FILTER (WHERE score >= 0.55) = 0 THEN 0.0 ELSE round(least(1.0, count(*) FILTER (WHERE score >= 0.55) * sum(score::decimal(12,4))::double / count(*) / 2.0), 4) END AS e FROM r GROUP BY ALL),
+me AS (SELECT seed, CASE WHEN count(*) FILTER (WHERE score >= 0.55) = 0 THEN 0.0 ELSE round(least(1.0, count(*) FILTER (WHERE score >= 0.55) * sum(score::decimal(12,4))::double / count(*) / 2.0) + 1e-9, 4) END AS e FROM r GROUP BY ALL),
 mo AS (SELECT seed, module_id, count(*) AS k FROM r GROUP BY ALL),
 mr AS (SELECT seed, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round(greatest(1 - (log2(sum(k)) - sum(k * log2(k)) / sum(k)) / log2(count(*)), 0.0), 4) END AS r FROM mo GROUP BY ALL),
 mg AS (SELECT b.seed, round(count(*) FILTER (WHERE b.distance = 2 AND coalesce(r.score, 0) >= 0.55) / count(*), 4) AS g FROM b LEFT JOIN r USING (seed, id) GROUP BY b.seed),
@@ -340,7 +340,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS
 n AS (SELECT seed, count(*) AS n FROM r WHERE rank <= 5 GROUP BY ALL),
 mk AS (SELECT seed, max(k) AS k FROM (SELECT seed, count(*) AS k FROM r WHERE rank <= 5 AND module_id IS NOT NULL GROUP BY seed, module_id UNION ALL SELECT seed, count(*) FROM r WHERE rank <= 5 AND file_id IS NOT NULL GROUP BY seed, file_id) GROUP BY ALL),
 mc AS (SELECT seed, round(coalesce(k, 0) / n, 4) AS c FROM n LEFT JOIN mk USING (seed)),
-me AS (SELECT seed, CASE WHEN count(*) FILTER (WHERE score >= 0.55) = 0 THEN 0.0 ELSE round(least(1.0, count(*) FILTER (WHERE score >= 0.55) * sum(score::decimal(12,4))::double / count(*) / 2.0), 4) END AS e FROM r GROUP BY ALL),
+me AS (SELECT seed, CASE WHEN count(*) FILTER (WHERE score >= 0.55) = 0 THEN 0.0 ELSE round(least(1.0, count(*) FILTER (WHERE score >= 0.55) * sum(score::decimal(12,4))::double / count(*) / 2.0) + 1e-9, 4) END AS e FROM r GROUP BY ALL),
 mo AS (SELECT seed, module_id, count(*) AS k FROM r WHERE module_id IS NOT NULL GROUP BY ALL),
 mr AS (SELECT seed, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round(greatest(1 - (log2(sum(k)) - sum(k * log2(k)) / sum(k)) / log2(count(*)), 0.0), 4) END AS r FROM mo GROUP BY ALL),
 mm AS (SELECT q.seed, q.level, a, coalesce(c, 0) AS c, coalesce(e, 0) AS e, 1.0 AS g, coalesce(r, 0) AS r FROM q LEFT JOIN mc USING (seed) LEFT JOIN me USING (seed) LEFT JOIN mr USING (seed)),

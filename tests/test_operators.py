@@ -55,6 +55,30 @@ def test_snapshot_changes(spark, rows):
     assert rows(snapshot_changes(repos, files.limit(0))) == []
 
 
+@pytest.mark.parametrize("levels", [(0, 12), (0, 2, 4), (0, 4, 8, 12)])
+def test_snapshots_by_shuffle_and_by_broadcast(spark, rows, monkeypatch, levels):
+    import random
+
+    from graphlens.operators import snapshots
+
+    rng = random.Random(7)
+    commits = [f"{i:02d}" * 20 for i in range(6)]
+    repos = spark.createDataFrame([(f"r{k}", "p", "main", c, T0 + timedelta(i), "") for k in range(3) for i, c in enumerate(commits)], REPOS)
+    data, want = [], []
+    for k in range(3):
+        old = None
+        for c in commits:
+            new = {f"d{i}/f.py": str(rng.randint(0, 1)) for i in range(60) if rng.random() < 0.8} if old is None or rng.random() < 0.7 else dict(old)
+            data += [(f"r{k}", p, h, c[: rng.choice([10, 12, 40])], T0, None) for p, h in new.items()]
+            if old is not None:
+                want += [(f"r{k}", c, p, "removed" if p not in new else "added" if p not in old else "changed") for p in {*old, *new} if old.get(p) != new.get(p)]
+            old = new
+    files = spark.createDataFrame(data, FILES)
+    for most in (0, 100):
+        monkeypatch.setattr(snapshots, "MOST_BROADCAST", most)
+        assert rows(snapshot_changes(repos, files, levels)) == sorted(want)
+
+
 def test_ambiguous_beginning_is_ignored(spark, rows):
     a, b = "aaaa1" + "0" * 35, "aaaa2" + "0" * 35
     repos = spark.createDataFrame([("r", "p", "m", a, T0, ""), ("r", "p", "m", b, T0 + timedelta(1), "")], REPOS)
